@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import leak, parse, split
+from pyspark.sql import functions as F
+
+from . import cooccur, leak, neighbors, parse, split
 
 
 def _table(spark, folder, name):
@@ -18,6 +20,22 @@ def p1_rates(spark, folder):
     return parse.parse_rates(*(_table(spark, folder, t) for t in ("units", "files", "extractions")))
 
 
+def p2_pairs(spark, folder):
+    return cooccur.pair_lift(_table(spark, folder, "commit_evidence"), min_support=4, min_lift=3.0)
+
+
+def p2_found(spark, folder):
+    return p2_pairs(spark, folder).select(F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
+
+
+def p4_found(spark, folder):
+    return neighbors.similar_pairs(_table(spark, folder, "unit_vectors")).select("provider", "unit_id_a", "unit_id_b")
+
+
+def p4_neighbors(spark, folder):
+    return neighbors.most_similar(_table(spark, folder, "unit_vectors"), 5)
+
+
 def p6_found(spark, folder):
     return split.split_oversized(_table(spark, folder, "units"), 4000, 200).select("unit_id").distinct()
 
@@ -35,10 +53,22 @@ def p7_tests(spark, folder):
     return leak.leaked_tests(leak.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_tasks")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_pieces, p7_found, p7_tests)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests)}
 
 _WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
+_PAIRS = """
+WITH e AS (SELECT commit_hash AS c, unnest(changed_files) AS f FROM commit_evidence WHERE commit_hash IS NOT NULL),
+  n AS (SELECT DISTINCT c, array_to_string(list_filter(string_split(replace(regexp_replace(f, '^\\s+|\\s+$', '', 'g'), chr(92), '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') AS p FROM e),
+  m AS (SELECT c, p, split_part(p, '/', 1) AS r, count(*) OVER (PARTITION BY c) AS k FROM n WHERE p <> ''),
+  b AS (SELECT * FROM m WHERE k <= 50),
+  i AS (SELECT p, count(*) AS n_item FROM b GROUP BY p),
+  s AS (SELECT r, count(DISTINCT c) AS n FROM b GROUP BY r),
+  q AS (SELECT x.r AS scope, x.p AS item_a, y.p AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.c = y.c AND x.r = y.r AND x.p < y.p GROUP BY ALL HAVING count(*) >= 4)
+SELECT {0} FROM q JOIN i a ON a.p = item_a JOIN i z ON z.p = item_b JOIN s ON s.r = scope WHERE n_ab * n >= 3 * a.n_item * z.n_item"""
+
 ORACLES = {
+    "p2_found": _PAIRS.format("item_a AS path_a, item_b AS path_b"),
+    "p2_pairs": _PAIRS.format("scope, item_a, item_b, n_ab, a.n_item AS n_a, z.n_item AS n_b, n, round(n_ab * n / (a.n_item * z.n_item), 6) AS lift"),
     "p6_found": "SELECT DISTINCT unit_id FROM units WHERE length(content) > 4000",
     "p7_found": """
 WITH t AS (SELECT id, list_transform(regexp_extract_all(task, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_tasks),
