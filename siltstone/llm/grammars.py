@@ -63,8 +63,8 @@ atom := NAME | NUM | STR+ | '...' | 'None' | 'True' | 'False'
   | '{' (starnamed comp | starnamed (',' starnamed)* ','? | pair comp | pair (',' pair)* ','?)? '}' ;;
 pair := expr ':' expr | '**' arith ;;
 comp := ('async'? 'for' targets 'in' disj ('if' (NAME ':=')? disj)*)+ ;;
-args := arg (',' arg)* ','? ;;
-arg := NAME '=' expr | '*' expr | '**' expr | named comp? ;;
+args := arg (',' arg)* ','? | named comp ;;
+arg := NAME '=' expr | '*' expr | '**' expr | named ;;
 subscript := slice (',' slice)* ','? ;;
 slice := starnamed | expr? ':' expr? (':' expr?)? ;;
 patterns := pattern (',' pattern)* ','? ;;

@@ -72,7 +72,7 @@ class Language:
         if c.isalpha() or c in "_$" or ord(c) > 127 and c.isidentifier():
             if t in known and (t in self.soft or t in self.words):
                 return known[t]
-            return known["NAME"]
+            return known.get("NAME", -1)
         got = known.get(t, -1)
         return got
 
@@ -133,7 +133,7 @@ class Python(Language):
     pattern = re.compile(
         r"\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*"
         r"|(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''"
-        r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
+        r"|(?!\"\"\")\"(?:[^\"\\\n]|\\.)*\"|(?!''')'(?:[^'\\\n]|\\.)*')"
         r"|[^\W\d]\w*|0[xX]\w+|\.?\d(?:[eE][+-](?=\d)|\w|\.(?!\.))*"
         r"|#[^\n]*|\\\n|\*\*=?|//=?|>>=?|<<=?|!=|->|:=|\.\.\.|[-+*/%@&|^=<>]=?|[~:;.,()\[\]{}]|[^ \t\f\n]",
         re.S,
@@ -174,6 +174,8 @@ class Python(Language):
             return None
         if t[-1] in "\"'":
             return self.string(t)
+        if not t.isascii() and not t.isidentifier():
+            return -1
         return super().classify(t)
 
     def string(self, t):
@@ -186,7 +188,7 @@ class Python(Language):
                 return -1
         elif "r" not in prefix and "\\" in t and self._badescape.search(t):
             return -1
-        if "f" in prefix and "{" in t + "}" and not self.fields(t[q + 3 : -3] if t[q : q + 3] in ('"""', "'''") and len(t) >= q + 6 else t[q + 1 : -1]):
+        if "f" in prefix and ("{" in t or "}" in t) and not self.fields(t[q + 3 : -3] if t[q : q + 3] in ('"""', "'''") and len(t) >= q + 6 else t[q + 1 : -1]):
             return -1
         return self.net.kinds["STR"]
 
@@ -387,7 +389,7 @@ def flatten_fstrings(text):
                     e = e[:-1]
                 got.append(",(" + e + ")")
                 i += 1
-            elif c == "\n" and len(q) == 1:
+            elif c == "}" or c == "\n" and len(q) == 1:
                 return None, i
             else:
                 i += 1
