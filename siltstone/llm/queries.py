@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cooccur, leak, neighbors, parse, split
+from . import cooccur, docpairs, leak, neighbors, parse, split
 
 
 def _table(spark, folder, name):
@@ -28,8 +28,16 @@ def p2_found(spark, folder):
     return p2_pairs(spark, folder).select(F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
 
 
+def p3_found(spark, folder):
+    return docpairs.documented_units(_table(spark, folder, "units")).select("unit_id").distinct()
+
+
+def p3_functions(spark, folder):
+    return docpairs.documented_functions(_table(spark, folder, "units").where("node_type = 'file'")).distinct()
+
+
 def p4_found(spark, folder):
-    return neighbors.similar_pairs(_table(spark, folder, "unit_vectors")).select("provider", "unit_id_a", "unit_id_b")
+    return neighbors.similar_pairs(_table(spark, folder, "unit_vectors"), 5, 0.8, probes=12).select("provider", "unit_id_a", "unit_id_b")
 
 
 def p4_neighbors(spark, folder):
@@ -53,7 +61,7 @@ def p7_tests(spark, folder):
     return leak.leaked_tests(leak.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_tasks")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_functions, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests)}
 
 _WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
 _PAIRS = """
