@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cooccur, docpairs, leak, neighbors, parse, quality, split
+from . import cooccur, docpairs, leak, mixture, neighbors, parse, quality, split
 
 
 def _table(spark, folder, name):
@@ -61,6 +61,14 @@ def p7_tests(spark, folder):
     return leak.leaked_tests(leak.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_tasks")))
 
 
+def p8_mixture(spark, folder):
+    return mixture.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark, folder):
+    return mixture.shares(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark, folder):
     return quality.not_prose(_table(spark, folder, "documents")).select("doc_id")
 
@@ -69,7 +77,7 @@ def p9_statistics(spark, folder):
     return quality.statistics(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_functions, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_functions, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 _WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
 _PAIRS = """
