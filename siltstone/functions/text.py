@@ -84,8 +84,9 @@ def parent_directory(path: Column) -> Column:
 
 
 def clean_reference(text: Column) -> Column:
-    """A reference as written in source: no white space or quotes around, none inside, at most 180 characters, else null."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[\s'\"`(]+|[\s'\"`;,)]+$", "")
+    """A reference as one word of at most 180 characters without quotes and brackets around it, else null."""
+    bare = F.regexp_replace(F.trim(text), r"^['\"`<>()\[\]{}]+|['\"`<>()\[\]{}]+$", "")
+    plain = F.trim(F.regexp_replace(bare, r"[^A-Za-z0-9_.$:/@#-]+", " "))
     return F.when((plain != "") & (F.length(plain) <= 180) & ~plain.contains(" "), plain)
 
 
