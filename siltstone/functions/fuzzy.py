@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -27,7 +28,7 @@ def best_ratio_udf(terms: list[str]):
             memo[n] = max((sequence_ratio(t, n) for t in terms), default=0.0)
         return names.map(memo).fillna(0.0)
 
-    return best
+    return best.asNondeterministic()  # so that no plan evaluates it twice
 
 
 def _indel(a: str, b: str) -> float:
@@ -50,19 +51,30 @@ def _indel(a: str, b: str) -> float:
 
 
 def _partial(a: str, b: str) -> float:
-    """Best similarity of the shorter string with any window of its length in the longer."""
+    """Best similarity of the shorter string with any window of its length in the longer.
+
+    A window is scored only if the letters it shares with the string, kept up
+    as the window slides, allow for more than the best so far.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0.0
     if a in b:
         return 100.0
-    best = 0.0
-    letters = set(a)
-    for i in range(1 - len(a), len(b)):
-        window = b[max(0, i) : i + len(a)]
-        if window[-1:] in letters or window[:1] in letters:
-            best = max(best, _indel(a, window))
+    m, best, shared = len(a), 0.0, 0
+    left = Counter(a)
+    for i in range(len(b) + m - 1):  # the window ends before i + 1
+        if i < len(b):
+            c = b[i]
+            shared += left[c] > 0
+            left[c] -= 1
+        if i >= m:
+            c = b[i - m]
+            left[c] += 1
+            shared -= left[c] > 0
+        if 200.0 * shared / (m + min(i + 1, len(b)) - max(0, i + 1 - m)) > best:
+            best = max(best, _indel(a, b[max(0, i + 1 - m) : i + 1]))
     return best
 
 
@@ -87,7 +99,8 @@ def _partial_token_ratio(a: str, b: str) -> float:
     x, y = set(a.split()), set(b.split())
     if x & y:
         return 100.0
-    return max(_partial(" ".join(_tokens(a)), " ".join(_tokens(b))), _partial(" ".join(sorted(x)), " ".join(sorted(y))))
+    one, two = (" ".join(_tokens(a)), " ".join(_tokens(b))), (" ".join(sorted(x)), " ".join(sorted(y)))
+    return _partial(*one) if one == two else max(_partial(*one), _partial(*two))
 
 
 def weighted_ratio(a: str, b: str) -> float:
@@ -111,9 +124,10 @@ def weighted_ratio_udf(query: str):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: weighted_ratio(query, t))
+        memo = {t: weighted_ratio(query, t) for t in texts.dropna().unique()}
+        return texts.map(memo).fillna(0.0)
 
-    return score
+    return score.asNondeterministic()
 
 
 # -- Porter's algorithm (Porter 1980) -----------------------------------------

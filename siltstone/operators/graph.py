@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.fuzzy import weighted_ratio_udf
-from siltstone.plans.stage import stage
+from siltstone.plans.stage import spread, stage
 
 
 def both_ways(edges: DataFrame, edge_types=None) -> DataFrame:
@@ -161,7 +161,7 @@ def resolve(nodes: DataFrame, query: str, *, cutoff: float = 35.0) -> str | None
     if exact is not None:
         return exact
     text = F.array_join(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != ""))), " ")
-    best = nodes.select("node_id", weighted_ratio_udf(query)(text).alias("score")).where(F.col("score") >= cutoff).orderBy(F.desc("score"), "node_id").first()
+    best = spread(nodes, "node_id").select("node_id", weighted_ratio_udf(query)(text).alias("score")).where(F.col("score") >= cutoff).orderBy(F.desc("score"), "node_id").first()
     return best.node_id if best else None
 
 
@@ -181,7 +181,7 @@ def question_graph(edges: DataFrame, nodes: DataFrame, question: str, *, limit:
     if not 1 <= limit <= 200 or not 0 <= hops <= 3:
         raise ValueError("limit 1..200 and hops 0..3")
     fields = [F.coalesce(F.col(c), F.lit("")) for c in ("label", "qualname", "path", "node_type") if c in nodes.columns]
-    ranked = nodes.select("node_id", weighted_ratio_udf(question.strip())(F.concat_ws(" ", *fields)).alias("score")).orderBy(F.desc("score"), "node_id").limit(3).collect()
+    ranked = spread(nodes, "node_id").select("node_id", weighted_ratio_udf(question.strip())(F.concat_ws(" ", *fields)).alias("score")).orderBy(F.desc("score"), "node_id").limit(3).collect()
     anchors = [r.node_id for r in ranked if r.score >= least] or [r.node_id for r in ranked[:1]]
     spark = edges.sparkSession
     frontier = spark.createDataFrame(list(enumerate(anchors, 1)), "place int, node_id string").withColumn("distance", F.lit(0))

@@ -38,7 +38,7 @@ def _stem_udf():
             out.append([memo.get(w) or porter_stem(w) for w in words])
         return pd.Series(out)
 
-    return stems
+    return stems.asNondeterministic()  # so that no plan evaluates it twice
 
 
 def phrases(query: str, stem: bool = False, limit: int = 24) -> list[list[str]]:

@@ -135,7 +135,7 @@ def related_tests(anchors: DataFrame, units: DataFrame, edges: DataFrame, nodes:
     tests = units.where("node_type = 'test'").dropDuplicates(["unit_id"]).select("unit_id", "path", "start_line", "qualname", "docstring", "content")
     ids = anchors.select(F.col("unit_id").alias("anchor")).distinct()
     ways = both_ways(edges, ("calls", "references", "tests"))
-    direct = ways.join(ids, ways.to == ids.anchor, "left_semi").select(F.col("at").alias("unit_id")).distinct().withColumn("direct", F.lit(0.72))
+    direct = ways.join(ids, F.col("to") == F.col("anchor"), "left_semi").select(F.col("at").alias("unit_id")).distinct().withColumn("direct", F.lit(0.72))
     # who is within reach of an anchor is found from the anchors' side of each test's own search
     near = neighbors(edges, tests.select(F.col("unit_id").alias("start")), nodes=nodes, edge_types=("calls", "references", "imports", "defines", "tests"), max_depth=3, limit=40)
     places = nodes.select("node_id", "path")

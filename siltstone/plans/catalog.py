@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy_queries
+from . import graph_queries, hierarchy_queries, retrieval_queries
 
-_MODULES = (hierarchy_queries,)
+_MODULES = (retrieval_queries, graph_queries, hierarchy_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

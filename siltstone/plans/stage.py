@@ -33,6 +33,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores, else unchanged.
+
+    For small tables in one file before a Python operator; a large table has
+    more splits than cores and is never shuffled by this.  Hashed by ``key``, so
+    a task that runs again gets the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete a staged table which no later plan reads."""
     for path in df.inputFiles()[:1]:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.arrow import batch
+from siltstone.plans.stage import spread, stage
+
 from siltstone.sources.python_units import _dotted
 
 NODE = "id string, label string, kind string, source_file string, source_location string, language string, qualname string, signature string, start_line int, end_line int"
 EDGE = "source string, target string, target_ref string, relation string, confidence string, source_location string"
 _ROW = f"row string, {NODE}, source string, target string, target_ref string, relation string, confidence string, parse_error string"
-_COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
 
 _COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`", re.S)
 _HASH_COMMENTS = re.compile(r"#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
@@ -106,13 +108,20 @@ def _patterns(f: _File, source: str):
     pattern = _HASH_COMMENTS if f.language in _HASHED else _COMMENTS
     # blank comments and strings, keeping the places of everything else
     blank = pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
-    line_of = lambda at: source.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda at: bisect_left(breaks, at) + 1
     found = []
     for p, kind in _DEFINITIONS:
         found += [(m.start(), m.group(1), kind) for m in p.finditer(blank)]
     if f.language in ("java", "javascript", "typescript", "tsx", "csharp", "cpp", "groovy", "php", "scala", "kotlin"):
         found += [(m.start(1), m.group(1), "method") for m in _METHOD.finditer(blank) if m.group(1) not in _CONTROL]
     found.sort()
+    closes, opened = {}, []
+    for m in re.finditer(r"[{}]", blank):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            closes[opened.pop()] = m.end()
     spans, taken = [], set()
     for at, name, kind in found:
         if (line_of(at), name) in taken:
@@ -121,12 +130,7 @@ def _patterns(f: _File, source: str):
         brace, stop = blank.find("{", at), blank.find(";", at)
         end = at
         if brace >= 0 and (stop < 0 or brace < stop):
-            depth, end = 0, len(blank)
-            for m in re.finditer(r"[{}]", blank[brace:]):
-                depth += 1 if m.group() == "{" else -1
-                if not depth:
-                    end = brace + m.end()
-                    break
+            end = closes.get(brace, len(blank))
         spans.append((at, end, name, kind))
     owners = []
     for at, end, name, kind in spans:
@@ -143,7 +147,10 @@ def _patterns(f: _File, source: str):
             for base in re.findall(r"[A-Za-z_][\w.:]*", re.sub(r"\b(?:extends|implements|public|private|protected|virtual)\b|<[^>]*>", " ", m.group(1) or m.group(2) or "")):
                 f.edge(node_id, "inherits", "INFERRED", line_of(at), ref=clean(base))
         owners.append((at, end, node_id, qualname, kind))
-    by_line = sorted(((r["start_line"], r["end_line"], r["id"]) for r in f.rows if r["row"] == "node" and r["id"] != f.file), key=lambda x: (x[0], -x[1]))
+    owner_of = [f.file] * (len(breaks) + 2)  # innermost definition of each line
+    for r in sorted((r for r in f.rows if r["row"] == "node" and r["id"] != f.file), key=lambda r: (r["start_line"], -r["end_line"])):
+        for n in range(r["start_line"], r["end_line"] + 1):
+            owner_of[n] = r["id"]
     if f.language == "go":
         for m in _GO_IMPORTS.finditer(source):
             for ref in re.findall(r'"([^"]+)"', m.group()):
@@ -160,13 +167,7 @@ def _patterns(f: _File, source: str):
         before = blank[blank.rfind("\n", 0, m.start()) + 1 : m.start()]
         if re.search(r"\b(?:function\*?|func|fn|fun|def|class)\s+(?:\([^)]*\)\s*)?$", before) or (line, name) in taken:
             continue
-        owner = f.file
-        for a, b, node_id in by_line:
-            if a <= line <= b:
-                owner = node_id
-            elif a > line:
-                break
-        f.edge(owner, "calls", "INFERRED", line, ref=clean(name))
+        f.edge(owner_of[line], "calls", "INFERRED", line, ref=clean(name))
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,10 +177,10 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     References stay unresolved (``target_ref``).  Languages other than Python
     are read by patterns over the code without comments and strings: best effort.
     """
-    def parse(frames):
-        for pdf in frames:
+    def parse(batches):
+        for b in batches:
             out = []
-            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
+            for path, language, content in zip(*(c.to_pylist() for c in b.columns)):
                 f, error = _File(path, language, content or ""), None
                 if language == "python":
                     try:
@@ -190,12 +191,9 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     _patterns(f, content or "")
                 out += f.rows
                 out.append({"row": "file", "source_file": path, "language": language, "start_line": sum(r["row"] == "node" for r in f.rows), "end_line": sum(r["row"] == "edge" for r in f.rows), "parse_error": error})
-            frame = pd.DataFrame(out, columns=_COLUMNS)
-            for c in ("start_line", "end_line"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+            yield batch(out, _ROW)
 
-    rows = files.select("path", "language", "content").mapInPandas(parse, _ROW)
+    rows = stage(spread(files.select("path", "language", "content"), "path").mapInArrow(parse, _ROW), "extraction")
     nodes = rows.where("row = 'node'").select(*[c.split()[0] for c in NODE.split(", ")])
     edges = rows.where("row = 'edge'").select(*[c.split()[0] for c in EDGE.split(", ")])
     errors = F.filter(F.array("parse_error"), lambda x: x.isNotNull())

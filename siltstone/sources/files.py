@@ -104,8 +104,21 @@ def discover(spark: SparkSession, root: str, *, extensions=PYTHON, excludes=DEFA
         return paths.map(lambda p: not rules.ignored(p) and not os.path.islink(os.path.join(base, p)))
 
     rows = rows.where(wanted("relative"))
-    return rows.select(F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes"),
-                       (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("content_hash")).orderBy("path")
+    full = rows.select(F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes"),
+                       (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("content_hash"))
+    # the scan passes over empty files, so these few come from a listing
+    empty = []
+    for folder, inner, names in os.walk(base):
+        inner[:] = [d for d in inner if not rules.ignored(os.path.relpath(os.path.join(folder, d), base) + "/")]
+        for name in names:
+            at = os.path.join(folder, name)
+            path = os.path.relpath(at, base)
+            if os.path.splitext(name)[1].lower() in extensions and not os.path.islink(at) and os.path.getsize(at) == 0 and not rules.ignored(path):
+                empty.append((path, "", 0, os.stat(at).st_mtime_ns // 1000 * 1000))
+    if empty:
+        none = spark.createDataFrame(empty, "path string, content string, size_bytes long, mtime_ns long")
+        full = full.unionByName(none.withColumn("content_hash", F.sha2(F.lit(""), 256)))
+    return full.orderBy("path")
 
 
 def discover_all(spark: SparkSession, root: str, **options) -> DataFrame:
