@@ -263,16 +263,20 @@ def islands(text: str, language: str):
 
 
 def _brace_islands(text: str, language: str):
-    head_of, opened, start = _HEADS[language], [], None
+    head_of, opened, start, code = _HEADS[language], [], None, None
     depth, found = 0, []
     for m in languages.language(language).pattern.finditer(text):
         t = m.group()
-        if t[0] == "\n":
+        if t[0] == "\n":  # only tokens of languages where a line may end a statement
+            if depth <= 0 and code is not None and text[code] != "@":
+                start = code = None
             continue
         if t.startswith(("//", "/*")):
             if start is None:
                 start = m.start()
             continue
+        if code is None:
+            code = m.start()
         if t in ("(", "["):
             depth += 1
         elif t in (")", "]"):
@@ -285,15 +289,15 @@ def _brace_islands(text: str, language: str):
                 if got and at == m.start() - start:
                     entry = (got.group(1), uncomment(comments), signature, start)
             opened.append((entry, depth))
-            depth, start = 0, None
+            depth, start, code = 0, None, None
         elif t == "}":
             if opened:
                 entry, depth = opened.pop()
                 if entry:
                     found.append((*entry, m.end()))
-            start = None
+            start = code = None
         elif t == ";" and depth <= 0:
-            start = None
+            start = code = None
         elif start is None and depth <= 0:
             start = m.start()
     return sorted(found, key=lambda x: x[3])

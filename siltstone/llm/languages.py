@@ -40,9 +40,9 @@ class Language:
     comment = ("//", "/*")
     number = re.compile(r".*", re.S)
 
-    def __init__(self, dialects, *, soft="", words="", brackets=None, eos=None, newline=None, extra=""):
+    def __init__(self, dialects, *, soft="", words="", brackets=None, eos=None, newline=None):
         self.dialects, self.brackets = dialects, brackets or _BRACKETS
-        self.soft, self.words, self.extra = soft.split(), words.split(), extra.split()
+        self.soft, self.words = soft.split(), words.split()
         self.eos, self.newline = eos, newline
         self.build()
 
@@ -620,11 +620,8 @@ class Rust(Language):
 
     def __init__(self):
         super().__init__({"rust": (G.RUST.replace("chain := ('BIN'", "chain := ('BIN' | 'BAR2'"), "file")},
-            soft="union auto default safe raw box", extra="$",
-            words="as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while yield _")
-
-    def build(self):
-        super().build()
+            soft="union auto default safe raw box",
+            words="$ as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while yield _")
 
     def classify(self, t):
         k = self.net.kinds
@@ -635,7 +632,7 @@ class Rust(Language):
         if t == "_":
             return k["_"]
         if t == "$":
-            return k.get("$", -1)
+            return k["$"]
         return super().classify(t)
 
     def is_string(self, t):

@@ -156,7 +156,7 @@ def nearest_classes(classes: DataFrame, k: int, min_similarity: float | None = N
     floor = -2.0 if min_similarity is None else min_similarity
 
     def search(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"provider": [], "rep": [], "other": [], "similarity": []})
+        empty = pd.DataFrame({c: pd.Series(dtype=str) for c in ("provider", "rep", "other")} | {"similarity": pd.Series(dtype=float)})
         if not len(q) or not len(m):
             return empty
         index = models.value[key[0]]
