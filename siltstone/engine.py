@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import token_estimate
 from siltstone.operators import communities, evaluation, fusion, graph, graph_build, history, incremental, lexical, routing, selection, semantic, symbols
+from siltstone.plans.stage import stage
 from siltstone.sinks import render
 from siltstone.sinks.tables import COMMITS, EDGES, FILES, NODES, VECTORS, Store
 from siltstone.sources import artifacts, files, python_units, records
@@ -144,8 +145,8 @@ class Engine:
             first.append(self._symbol(units, task, FIRST["symbol"], 1000))
         if "semantic" in chosen:
             first.append(self._semantic(units, task, FIRST["semantic"], 2000))
-        initial = self._union(first).cache()
-        ranked = fusion.rerank(fusion.merge(initial), units, task, redundancy=redundancy).cache()
+        initial = stage(self._union(first), "signals")
+        ranked = stage(fusion.rerank(fusion.merge(initial), units, task, redundancy=redundancy), "ranked")
         anchors = ranked.where(F.col("rank") <= ANCHORS)
         held = anchors.select("unit_id", "path").collect()
         package["anchors"] = [r.unit_id for r in held]
@@ -162,7 +163,7 @@ class Engine:
             second = [self._lexical(units, text, SECOND["lexical"], 5000), self._symbol(units, text, SECOND["symbol"], 6000)]
             if "semantic" in chosen:
                 second.append(self._semantic(units, text, SECOND["semantic"], 7000))
-            second = self._union(second)
+            second = stage(self._union(second), "signals")
             best = second.groupBy("unit_id").agg((F.max("score") * SECOND_PASS).alias("score"))
             later += [second, fusion.signals(best, "query_evolution", "score", reason=F.lit("found in the second pass"), seq=8000)]
         package["concepts"] = concepts
@@ -171,7 +172,7 @@ class Engine:
         if "hotspots" in chosen:
             touched = self.table("commits").select("commit_hash", F.explode("files.path").alias("path")).distinct()
             package["hotspots"] = [(r.path, r.changes) for r in history.hotspots(touched, self.table("files"), HOTSPOTS_SHOWN).collect()]
-        everything = fusion.rerank(fusion.merge(self._union([initial, *later])), units, task, redundancy=redundancy).withColumn("task_id", F.lit("task")).cache()
+        everything = stage(fusion.rerank(fusion.merge(stage(self._union([initial, *later]), "signals")), units, task, redundancy=redundancy).withColumn("task_id", F.lit("task")), "ranked")
         reserve = render.estimated_tokens(render.package_markdown(package)) + SLACK
         if reserve - SLACK > token_budget:
             raise ValueError(f"the package without evidence has {reserve - SLACK} tokens already")
@@ -198,8 +199,6 @@ class Engine:
             package["items"].remove(worst)
             decisions[worst["unit_id"]].update(selected=False, place=None, reason="taken out so that the text fits")
         package["decisions"] = list(decisions.values())
-        for x in (initial, ranked, everything):
-            x.unpersist()
         return package
 
     @staticmethod
@@ -240,7 +239,7 @@ class Engine:
         schema = "configuration string, task_id string, rank int, file string, symbol string, start_line int, end_line int, estimated_tokens int, sources array<string>"
         items = self.spark.createDataFrame(rows, schema)
         total = listed.select("task_id", F.lit(corpus).cast("long").alias("repository_source_tokens"))
-        parts = [evaluation.metrics(listed, items.where(F.col("configuration") == c), top_k, total).withColumn("configuration", F.lit(c)) for c in configurations]
+        parts = [stage(evaluation.metrics(listed, items.where(F.col("configuration") == c), top_k, total).withColumn("configuration", F.lit(c)), "metrics") for c in configurations]
         return evaluation.mean_metrics(self._union(parts), "configuration")
 
     def _retrieve(self, units, task, configuration, top_k, budget):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import line_overlap, path_terms, query_terms_of, token_estimate
+from siltstone.plans.stage import stage
 
 #: How much a source's evidence counts.
 SOURCE_WEIGHTS = {
@@ -87,6 +88,7 @@ def rerank(candidates: DataFrame, units: DataFrame, task: str, *, redundancy: bo
     path_source = F.col("path_bonus") > 0
     rows = rows.withColumn("retrieved_by", F.when(path_source & ~F.array_contains("retrieved_by", "path"), F.array_append("retrieved_by", F.lit("path"))).otherwise(F.col("retrieved_by")))
     rows = rows.withColumn("source_scores", F.when(path_source, F.map_concat(F.map_filter("source_scores", lambda k, v: k != "path"), F.create_map(F.lit("path"), "path_bonus"))).otherwise(F.col("source_scores")))
+    rows = stage(rows, "scored")  # a bounded list, read three times below
     if redundancy:
         rows = redundancy_penalty(rows)
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("score", 12)), "estimated_tokens", "path", "start_line", "unit_id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.fuzzy import porter_stem
 from siltstone.functions.text import query_terms_of
+from siltstone.plans.stage import stage
 
 #: Fields of source units and of commits with their weights, and the constants of the formula.
 UNIT_FIELDS = {"path": 3.0, "name": 6.0, "qualname": 5.0, "signature": 3.0, "docstring": 2.5, "content": 1.0}
@@ -54,11 +56,12 @@ def _occurrences(line: Column, phrase: list[str]) -> Column:
 
 
 def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, stem: bool = False) -> DataFrame:
-    """``(key, bm25)`` of all documents that match any query term, by a scan.
+    """``(key, bm25)`` of all documents that match any query term, by one scan.
 
-    Term statistics are those of the whole table: two passes read the text (one
-    aggregates document frequencies and lengths to a row, one scores), and no
-    token is shuffled.  A null field is empty.  No match or no term: no rows.
+    Term statistics are those of the whole table: the pass that finds and writes
+    the matching documents' counts observes document frequencies and lengths on
+    the way, so the text is read once and no token is shuffled.  A null field is
+    empty.  No match or no term: no rows.
     """
     wanted = phrases(query, stem)
     if not wanted:
@@ -66,17 +69,18 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *
     parsed = docs.select(key, *(tokens(F.col(f), stem).alias(f) for f in fields))
     size = sum(F.size(f) for f in fields)
     lined = parsed.select(key, size.alias("d"), *(F.concat_ws("", F.transform(f, lambda t: F.concat(F.lit(" "), t, F.lit(" ")))).alias(f) for f in fields))
-    hits = lined.select(key, "d", *(
-        sum(_occurrences(F.col(f), p) * w for f, w in fields.items()).alias(f"f{i}") for i, p in enumerate(wanted)
-    ))
-    stats = hits.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("d").alias("avgdl"), *(F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))))
-    scored = hits.where(F.greatest(*(F.col(f"f{i}") for i in range(len(wanted))), F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
+    names = [f"f{i}" for i in range(len(wanted))]
+    hits = lined.select(key, "d", *(sum(_occurrences(F.col(f), p) * w for f, w in fields.items()).alias(n) for n, p in zip(names, wanted)))
+    seen = Observation()
+    hits = hits.observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("d"), F.lit(0)).alias("size"), *(F.count(F.when(F.col(n) > 0, 1)).alias("n_" + n) for n in names))
+    found = stage(hits.where(" or ".join(f"{n} > 0" for n in names)), "hits")
+    stats = seen.get
+    n_docs, avgdl = stats["n_docs"], stats["size"] / max(1, stats["n_docs"])
     total = F.lit(0.0)
-    for i in range(len(wanted)):
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
-    return scored.select(key, total.alias("bm25"))
+    for n in names:
+        idf = max(math.log((n_docs - stats["n_" + n] + 0.5) / (stats["n_" + n] + 0.5)), LEAST_IDF)
+        total = total + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("d") / max(avgdl, 1e-9)))
+    return found.select(key, total.alias("bm25"))
 
 
 def search(units: DataFrame, query: str, *, limit: int = 30, stem: bool = True) -> DataFrame:

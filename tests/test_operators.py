@@ -131,7 +131,7 @@ def test_artifact_references(spark):
         "source string, target string, target_ref string, relation string, confidence string, source_location string")
     out_nodes, out = B.resolve_artifacts(nodes, edges)
     got = {(r.source, r.target, r.relation): r.confidence for r in out.collect()}
-    assert got == {("f1", "m", "calls"): "INFERRED", ("m", "f1", "calls"): "INFERRED", ("m", "file:b.py", "imports"): "EXTRACTED", ("m", "external:imports:os.path", "imports"): "EXTRACTED",
+    assert got == {("f1", "m", "calls"): "INFERRED", ("m", "f1", "calls"): "AMBIGUOUS", ("m", "f2", "calls"): "AMBIGUOUS", ("m", "file:b.py", "imports"): "EXTRACTED", ("m", "external:imports:os.path", "imports"): "EXTRACTED",
                    ("file:a.py", "f1", "defines"): "EXTRACTED", ("f1", "f1", "calls"): "INFERRED"}
     assert out_nodes.where("kind = 'external'").count() == 1
     assert B.validate(nodes, edges.withColumn("source", F.lit("?"))).count() == 1
@@ -221,12 +221,12 @@ def test_co_changes_and_gate(spark):
 
 
 def test_routes(spark):
-    tasks = {"Remove the prefix": "local_bug", "mounted app fails": "cross_file_bug", "rename it": "refactor", "": "none", "Explain": "general", "Close the file": "local_bug"}
+    tasks = {"Delete the prefix": "local_bug", "mounted app fails": "cross_file_bug", "rename it": "refactor", "": "none", "Explain": "general", "Close the file": "local_bug"}
     got = {r.task: r for r in routing.route(spark.createDataFrame([(t,) for t in tasks], "task string")).collect()}
     assert {t: r.task_type for t, r in got.items()} == tasks
     assert got["rename it"].selected_sources == ["lexical", "symbol", "semantic", "call_graph", "imports", "inheritance", "related_tests", "git_history", "hotspots"]
-    whole = {r.task: r.task_type for r in routing.route(spark.createDataFrame([("Remove the prefix",)], "task string"), whole_words=True).collect()}
-    assert whole == {"Remove the prefix": "general"}
+    whole = {r.task: r.task_type for r in routing.route(spark.createDataFrame([("Delete the prefix",)], "task string"), whole_words=True).collect()}
+    assert whole == {"Delete the prefix": "general"}
 
 
 def test_metrics_of_a_small_list(spark):

@@ -98,8 +98,9 @@ def test_bm25_agrees_with_a_full_text_index(spark, query, stem):
 
 def test_search_leaves_out_modules_and_finds_nothing_without_terms(spark):
     units = spark.createDataFrame([(*d, 1, "module" if d[0] == "a" else "function") for d in DOCS], ", ".join(f"{c} string" for c in COLUMNS) + ", start_line int, node_type string")
-    rows = X.search(units, "join_path", limit=5).collect()
-    assert {r.unit_id for r in rows} == {"c"} and rows[0].score == 1.0 and rows[0].matched_terms == []
+    rows = X.search(units, "join path", limit=5).collect()
+    assert {r.unit_id for r in rows} == {"b", "c"} and rows[0].score == 1.0 and rows[0].matched_terms == ["join", "path"]
+    assert X.search(units, "join_path", limit=5).count() == 0  # a phrase, which only the module has
     assert X.search(units, "the a", limit=5).count() == 0
 
 
