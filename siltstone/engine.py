@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import token_estimate
 from siltstone.operators import communities, evaluation, fusion, graph, graph_build, history, incremental, lexical, routing, selection, semantic, symbols
+from siltstone.plans.ship import ship
 from siltstone.plans.stage import stage
 from siltstone.sinks import render
 from siltstone.sinks.tables import COMMITS, EDGES, FILES, NODES, VECTORS, Store
@@ -26,7 +27,7 @@ class Engine:
     """A repository, its store and the verbs on it."""
 
     def __init__(self, spark: SparkSession, repository: str, settings: records.Settings | None = None, store: str | None = None):
-        self.spark, self.repository = spark, os.path.realpath(repository)
+        self.spark, self.repository = ship(spark), os.path.realpath(repository)
         self.settings = settings or records.Settings.load(self.repository)
         self.store = Store(spark, store or os.path.join(self.repository, self.settings.folder))
 
