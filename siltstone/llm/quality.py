@@ -36,30 +36,38 @@ FEATURES = {
     "code_lines": "n_code / greatest(1, n_lines)",
     "indented": "n_indented / greatest(1, n_lines)",
 }
-_STOP = r"[.!?…][\"'»”)*`]*\s*$"
-_CODE = r"[;{}=(\[|\\+]\s*$|^\s*(?:[}\])|+]|def |class |func |fn |pub |import |from |return\b|let |var |const |//|/\*|\*/|#|@|:param|\"\"\")"
+#: Lines that end a sentence, lines of code, indented lines; each at most once a line.
+_STOP = "(?m)[.!?…][\"'»”)*`]*[ \\t]*$"
+_CODE = (r"(?m)^(?:[ \t]*(?:[}\])|+#@]|(?:def|class|func|fn|pub|import|from|return|let|var|const)\b|//|/\*|\*/|:param|\"\"\").*"
+         r"|.*[;{}=(\[|\\+][ \t]*)$")
+_INDENTED = r"(?m)^(?:\t|  )"
 
 
-def _count(column, keep: str):
-    return F.length(F.regexp_replace(column, f"[^{keep}]+", ""))
+def _words(text):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def counts(text) -> dict:
-    """Columns of a text's counts: characters, letters, digits, punctuation, words, lines and such."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    lines = F.split(F.regexp_replace(text, r"^\s*\n|\s+$", ""), "\n")
+def counts(text, words) -> dict:
+    """Columns of a text's counts: characters, letters, digits, punctuation, words, lines and such.
+
+    ``words`` is a column of a projection below, so that it is made once.
+    """
+    body = F.btrim(text, F.lit("\n\r\t "))
+    solid = text
+    for blank in " \n\t\r\u00a0\u3000":
+        solid = F.replace(solid, F.lit(blank), F.lit(""))
     return {
-        "n_chars": F.length(F.regexp_replace(text, r"(?U)\s+", "")),
-        "n_letters": _count(text, r"\p{L}"),
-        "n_digits": _count(text, "0-9"),
+        "n_chars": F.length(solid),
+        "n_letters": F.length(F.array_join(words, "")),
+        "n_digits": F.length(text) - F.length(F.translate(text, "0123456789", "")),
         "n_punct": F.length(text) - F.length(F.translate(text, ".,;:!?'\"()-", "")),
         "n_words": F.size(words),
         "n_common": F.size(F.filter(words, lambda w: w.isin(_COMMON))),
         "n_distinct": F.size(F.array_distinct(words)),
-        "n_lines": F.size(lines),
-        "n_stops": F.size(F.filter(lines, lambda x: x.rlike(_STOP))),
-        "n_code": F.size(F.filter(lines, lambda x: x.rlike(_CODE))),
-        "n_indented": F.size(F.filter(lines, lambda x: x.rlike(r"^(?:\t|  )"))),
+        "n_lines": F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1,
+        "n_stops": F.regexp_count(body, F.lit(_STOP)),
+        "n_code": F.regexp_count(body, F.lit(_CODE)),
+        "n_indented": F.regexp_count(F.btrim(text, F.lit("\n\r")), F.lit(_INDENTED)),
     }
 
 
@@ -70,8 +78,8 @@ def statistics(documents: DataFrame) -> DataFrame:
     common_word_share, distinct_word_share, lines)``; null texts are left out,
     an empty text has no words and ratios 0.
     """
-    c = counts(F.col("text"))
-    rows = documents.where("text is not null").select("doc_id", *(v.alias(k) for k, v in c.items()))
+    parts = documents.where("text is not null").select("doc_id", "text", _words(F.col("text")).alias("words_"))
+    rows = parts.select("doc_id", *(v.alias(k) for k, v in counts(F.col("text"), F.col("words_")).items()))
     return rows.select(
         "doc_id",
         F.col("n_words").alias("words"),
@@ -87,8 +95,8 @@ def statistics(documents: DataFrame) -> DataFrame:
 
 def blocks(documents: DataFrame) -> DataFrame:
     """``(doc_id, block)``: paragraphs between blank lines, without quote marks, emphasis, tags and invisible characters."""
-    text = F.regexp_replace(F.col("text"), "\r\n?", "\n")
-    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:>|#+)[ \t]?|[\u200b-\u200d\u2060\ufeff\u00ad*]", "")
+    text = F.translate(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\r\u200b\u200c\u200d\u2060\ufeff\u00ad*", "\n")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:>|#+)[ \t]?", "")
     text = F.regexp_replace(text, r"</?(?:p|br|b|i|em|strong|a|li|ul|ol|div|span|h[1-6]|blockquote)\b[^<>]*>", " ")
     rows = documents.where("text is not null").select("doc_id", F.explode(F.split(text, r"\n[ \t\u00a0]*(?:\n[ \t\u00a0]*)*\n")).alias("block"))
     return rows.where(F.col("block").rlike(r"\S"))
@@ -96,8 +104,9 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 def features(rows: DataFrame) -> DataFrame:
     """Adds the counts and features of ``block``."""
-    counted = rows.select("*", *(v.alias(k) for k, v in counts(F.col("block")).items()))
-    return counted.select("*", *(F.expr(f"round({e}, 6)").alias(k) for k, e in FEATURES.items()))
+    parts = rows.select("*", _words(F.col("block")).alias("words_"))
+    counted = parts.select("*", *(v.alias(k) for k, v in counts(F.col("block"), F.col("words_")).items()))
+    return counted.drop("words_").select("*", *(F.expr(f"round({e}, 6)").alias(k) for k, e in FEATURES.items()))
 
 
 # -- labels of the training rows ----------------------------------------------
