@@ -200,6 +200,17 @@ def question_graph(edges: DataFrame, nodes: DataFrame, question: str, *, limit:
     return chosen.join(nodes, "node_id").orderBy("place"), inside(edges, chosen)
 
 
+def overview(nodes: DataFrame, edges: DataFrame, *, limit: int = 180, selected=(), anchors=()):
+    """(nodes with ``selected`` and ``anchor`` flags, edges among them): the first ``limit`` nodes, containers first, then by label."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit 1..500")
+    kinds = ("repository", "directory", "file", "module")
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, kinds)), F.col("node_type")), F.lit(0).cast("long")), F.lit(len(kinds) + 1))
+    flag = lambda ids: F.col("node_id").isin(*ids) if ids else F.lit(False)
+    top = nodes.orderBy(order, "label", "node_id").limit(limit).withColumns({"selected": flag(list(selected)), "anchor": flag(list(anchors))})
+    return top, inside(edges, top)
+
+
 def layout(nodes: DataFrame, edges: DataFrame, *, most: int = 700) -> DataFrame:
     """``(node_id, label, degree, place, x, y, labelled)``: nodes of the highest degree on a circle.
 

@@ -104,9 +104,8 @@ def shortest_path(spark, folder):
 
 
 def case_ordered_graph(spark, folder):
-    nodes, _ = _graph(spark, folder)
-    kind = F.when(F.col("node_type") == "repository", 0).when(F.col("node_type") == "directory", 1).when(F.col("node_type") == "file", 2).when(F.col("node_type") == "module", 3).otherwise(4)
-    return nodes.orderBy(kind, "label", "node_id").limit(180).select("node_id", "node_type", "label")
+    nodes, edges = _graph(spark, folder)
+    return G.overview(nodes, edges)[0].select("node_id", "node_type", "label")
 
 
 def inner_edges(spark, folder):
