@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import degrees
-from siltstone.plans.stage import stage
+from siltstone.plans.stage import ranked, stage
 
 
 def undirected(edges: DataFrame, weight: str = "weight") -> DataFrame:
@@ -121,7 +121,7 @@ def communities(nodes: DataFrame, edges: DataFrame, *, weight: str = "weight", m
     merged = small.groupBy("component").applyInPandas(merge, "node_id string, home string")
     home = nodes.select("node_id").distinct().join(part, "node_id", "left").join(merged, "node_id", "left").select("node_id", F.coalesce("home", "component", "node_id").alias("home"))
     sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("low"))
-    number = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "low")) - 1).select("home", "community")
+    number = ranked(sizes, [F.desc("size"), F.col("low")], "community").select("home", F.col("community").cast("int").alias("community"))
     return home.join(number, "home").select("node_id", "community")
 
 

@@ -75,7 +75,7 @@ def rerank(candidates: DataFrame, units: DataFrame, task: str, *, redundancy: bo
     Order: score, fewer tokens, path, line, id.
     """
     terms = query_terms_of(task)
-    one = units.dropDuplicates(["unit_id"]).drop("score")
+    one = units.join(candidates.select("unit_id"), "unit_id", "left_semi").dropDuplicates(["unit_id"]).drop("score")  # of the candidates only
     rows = candidates.join(one, "unit_id").withColumn("estimated_tokens", token_estimate(F.col("content")))
     w = F.map_values(weighted(F.col("source_scores")))
     hits = F.size(F.array_intersect(path_terms(F.col("path")), F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")))

@@ -60,7 +60,8 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *
 
     Term statistics are those of the whole table: the pass that finds and writes
     the matching documents' counts observes document frequencies and lengths on
-    the way, so the text is read once and no token is shuffled.  A null field is
+    the way, so the text is read once and neither it nor its tokens are shuffled
+    (rows of one key, which count once, are told apart by their counts).  A null field is
     empty.  No match or no term: no rows.
     """
     wanted = phrases(query, stem)
@@ -72,7 +73,7 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *
     names = [f"f{i}" for i in range(len(wanted))]
     hits = lined.select(key, "d", *(sum(_occurrences(F.col(f), p) * w for f, w in fields.items()).alias(n) for n, p in zip(names, wanted)))
     seen = Observation()
-    hits = hits.observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("d"), F.lit(0)).alias("size"), *(F.count(F.when(F.col(n) > 0, 1)).alias("n_" + n) for n in names))
+    hits = hits.dropDuplicates([key]).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("d"), F.lit(0)).alias("size"), *(F.count(F.when(F.col(n) > 0, 1)).alias("n_" + n) for n in names))
     found = stage(hits.where(" or ".join(f"{n} > 0" for n in names)), "hits")
     stats = seen.get
     n_docs, avgdl = stats["n_docs"], stats["size"] / max(1, stats["n_docs"])
@@ -89,13 +90,13 @@ def search(units: DataFrame, query: str, *, limit: int = 30, stem: bool = True)
     ``score`` is relative to the best; ties by path, line and id.  Corpus
     statistics include modules.  Repeated rows of one id count once.
     """
-    one = units.dropDuplicates(["unit_id"])
-    hits = bm25_scan(one, "unit_id", UNIT_FIELDS, query, stem=stem)
+    hits = bm25_scan(units, "unit_id", UNIT_FIELDS, query, stem=stem)
     terms = query_terms_of(query)
-    rows = one.where("node_type <> 'module'").join(hits, "unit_id")
+    rows = units.where("node_type <> 'module'").select("unit_id", "path", "start_line", "qualname", "signature", "docstring", "content").join(hits, "unit_id")
     text = F.lower(F.concat_ws(" ", "path", "qualname", "signature", "docstring", "content"))
     matched = F.filter(F.array(*(F.when(text.contains(t), F.lit(t)) for t in terms)) if terms else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    top = rows.select("unit_id", "path", "start_line", "bm25", matched.alias("matched_terms")).orderBy(F.desc(F.round("bm25", 9)), "path", "start_line", "unit_id").limit(limit)
+    rows = rows.select("unit_id", "path", "start_line", "bm25", matched.alias("matched_terms")).dropDuplicates(["unit_id"])
+    top = rows.orderBy(F.desc(F.round("bm25", 9)), "path", "start_line", "unit_id").limit(limit)
     return top.withColumn("score", F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(0))))  # at most limit rows
 
 

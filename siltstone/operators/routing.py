@@ -132,7 +132,9 @@ def related_tests(anchors: DataFrame, units: DataFrame, edges: DataFrame, nodes:
     lies within three steps (40 nodes); 0.15 per anchor name in the test's name,
     at most 0.3; 0.04 per task term in its text, at most 0.2; at most 1.
     """
-    tests = units.where("node_type = 'test'").dropDuplicates(["unit_id"]).select("unit_id", "path", "start_line", "qualname", "docstring", "content")
+    text = F.lower(F.concat_ws(" ", "qualname", "docstring", "content"))
+    said = sum((text.contains(t).cast("int") for t in query_terms_of(task)), F.lit(0))
+    tests = units.where("node_type = 'test'").select("unit_id", "path", "start_line", "qualname", said.alias("said")).dropDuplicates(["unit_id"])
     ids = anchors.select(F.col("unit_id").alias("anchor")).distinct()
     ways = both_ways(edges, ("calls", "references", "tests"))
     direct = ways.join(ids, F.col("to") == F.col("anchor"), "left_semi").select(F.col("at").alias("unit_id")).distinct().withColumn("direct", F.lit(0.72))
@@ -148,8 +150,6 @@ def related_tests(anchors: DataFrame, units: DataFrame, edges: DataFrame, nodes:
     names = anchors.select(F.explode(F.array(F.lower("name"), F.lower(stem))).alias("anchor_name")).where("length(anchor_name) > 2").distinct()
     named = tests.join(F.broadcast(names), F.lower("qualname").contains(F.col("anchor_name")))  # two names per anchor; anchors come from a limited search
     named = named.groupBy("unit_id").agg(F.least(F.lit(0.3), F.count(F.lit(1)) * 0.15).alias("named"))
-    text = F.lower(F.concat_ws(" ", "qualname", "docstring", "content"))
-    said = sum((text.contains(t).cast("int") for t in query_terms_of(task)), F.lit(0))
     rows = tests.join(direct, "unit_id", "left").join(bounded, "unit_id", "left").join(named, "unit_id", "left").na.fill(0.0, ["direct", "bounded", "named"])
-    rows = rows.withColumn("score", F.least(F.lit(1.0), F.col("direct") + F.col("bounded") + F.col("named") + F.least(F.lit(0.2), said * 0.04)))
+    rows = rows.withColumn("score", F.least(F.lit(1.0), F.col("direct") + F.col("bounded") + F.col("named") + F.least(F.lit(0.2), F.col("said") * 0.04)))
     return rows.where("score > 0").select("unit_id", "path", "start_line", "score").orderBy(F.desc("score"), "path", "start_line", "unit_id").limit(limit)

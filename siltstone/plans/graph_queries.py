@@ -28,8 +28,8 @@ LOG = [
 
 def call_hints(units):
     """Hints of the calls in functions, methods and tests: every name before an opening bracket."""
-    rows = units.where("node_type in ('function', 'method', 'test') and content is not null").dropDuplicates(["unit_id"])
-    names = rows.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)))).alias("target"))
+    rows = units.where("node_type in ('function', 'method', 'test') and content is not null")
+    names = rows.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)))).alias("target")).distinct()
     return names.select(F.col("unit_id").alias("source_id"), F.lit("calls").alias("edge_type"), "target", F.lit(0.65).alias("confidence"), F.lit(0).cast("long").alias("seq"))
 
 

@@ -184,9 +184,9 @@ def noisy_or_fusion(spark, folder):
 
 
 def redundancy_penalty(spark, folder):
-    units = table(spark, folder, "units").where("content is not null").dropDuplicates(["unit_id"])
+    units = table(spark, folder, "units").where("content is not null")
     rows = units.select("unit_id", "path", "start_line", "end_line", F.round(1.0 / (1.0 + F.length("name")), 6).alias("score"), T.token_estimate(F.col("content")).alias("estimated_tokens"))
-    return fusion.redundancy_penalty(rows).select("unit_id", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"))
+    return fusion.redundancy_penalty(rows.dropDuplicates(["unit_id"])).select("unit_id", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"))
 
 
 def rerank_hybrid(spark, folder):

@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,6 +45,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in a total order, no task seeing more than a range of it.
+
+    Rows are split by ranges of the order, numbered within each, and shifted by
+    the sizes of the ranges before (a table of a row per partition).
+    """
+    parts = stage(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.broadcast(sizes.select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("shift_")))
+    place = F.col("shift_") + F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return parts.join(shift, "part_").withColumn(name, place).drop("part_", "shift_")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a staged table which no later plan reads."""
     for path in df.inputFiles()[:1]:
