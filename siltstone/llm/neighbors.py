@@ -16,7 +16,7 @@ SAMPLE = 20_000
 #: Vectors per inverted list aimed at, and the most lists of one provider.
 PER_LIST, MAX_LISTS = 256, 4096
 #: Lists probed per query; candidates per list that are reranked exactly.
-PROBES, RERANK = 32, 48
+PROBES, RERANK = 16, 48
 #: Dimensions per sub-quantiser; codes per sub-quantiser.
 SUB, CODES = 8, 256
 #: A list beyond so many members is split, and so are the queries of one list.
