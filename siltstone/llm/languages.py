@@ -332,20 +332,20 @@ class Python(Language):
 
 
 def flatten_fstrings(text):
-    """Replace f-strings that reuse their quotes inside fields by plain strings plus their fields.
+    """Replace f-strings that reuse their quotes inside fields by plain strings.
 
     Only tried after a rejection: such nesting can't be seen by the token
-    pattern.  ``f"a{b["c"]}"`` becomes ``("", (b["c"]), "")``; None if a field never ends.
+    pattern.  ``f"a{b["c"]}"`` becomes ``""``, and its field is appended to the
+    text as the line ``(b["c"])``; None if a field never ends.
     """
-    out, i, n = [], 0, len(text)
+    out, fields, i, n = [], [], 0, len(text)
     plain = re.compile(r"""#[^\n]*|(?:[rR][bB]?|[bB][rR]?|[uU])?(?:\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')""", re.S)
     start = re.compile(r"""(?:[fF][rR]?|[rR][fF])(\"\"\"|'''|"|')""")
 
     def fstring(i, q):
-        got = ['(""']
         while i < n:
             if text.startswith(q, i):
-                return "".join(got) + ")", i + len(q)
+                return '""', i + len(q)
             c = text[i]
             if c == "\\":
                 i += 2
@@ -387,7 +387,7 @@ def flatten_fstrings(text):
                 e = "".join(expr).rstrip()
                 if e.endswith("=") and not re.search(r"[=!<>]=$", e):
                     e = e[:-1]
-                got.append(",(" + e + ")")
+                fields.append("(" + e + "\n)\n")
                 i += 1
             elif c == "}" or c == "\n" and len(q) == 1:
                 return None, i
@@ -410,7 +410,7 @@ def flatten_fstrings(text):
         else:
             out.append(text[i])
             i += 1
-    return "".join(out)
+    return "".join(out) + "\n" + "".join(fields)
 
 
 _NUM = r"\.?\d(?:[eEpP][+-](?=\d)|[\w]|\.(?!\.))*"
