@@ -15,12 +15,14 @@ from siltstone.plans.stage import stage
 SAMPLE = 20_000
 #: Vectors per inverted list aimed at, and the most lists of one provider.
 PER_LIST, MAX_LISTS = 256, 4096
-#: Lists probed per query; candidates per list that are reranked exactly.
-PROBES, RERANK = 16, 48
+#: Lists probed per query.
+PROBES = 16
 #: Dimensions per sub-quantiser; codes per sub-quantiser.
 SUB, CODES = 8, 256
 #: A list beyond so many members is split, and so are the queries of one list.
 BLOCK, CHUNK = 4096, 8192
+#: Queries of a chunk scored at a time.
+SLICE = 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,16 +117,17 @@ def _fit(classes: DataFrame, sample: int) -> dict[str, Index]:
 
 
 def nearest_classes(classes: DataFrame, k: int, min_similarity: float | None = None, *, probes: int = PROBES,
-                    rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+                    rerank: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``(provider, rep, other, similarity)``: up to ``k`` most similar distinct vectors of each vector.
 
     ``classes`` has ``(provider, rep, vector)``, one row per distinct vector.
     Each vector is a member of its nearest list and a query to its ``probes``
     nearest ones.  A list and the queries to it meet in one group per block of
     members and chunk of queries, so neither a hot list nor a hot region grows a
-    task.  There, asymmetric distance tables rank the members, the best
-    ``rerank`` are scored exactly, and only the best ``k`` leave the group.
-    ``min_similarity`` drops lower ones early; ranks of the others don't change.
+    task.  There, every member is scored exactly, and only the best ``k`` leave
+    the group.  ``min_similarity`` drops lower ones early; ranks of the others
+    don't change.  ``rerank`` is accepted from callers of the former shortlist
+    and limits nothing.
     """
     models = classes.sparkSession.sparkContext.broadcast(_fit(classes, sample))
 
@@ -159,26 +162,20 @@ def nearest_classes(classes: DataFrame, k: int, min_similarity: float | None = N
         empty = pd.DataFrame({c: pd.Series(dtype=str) for c in ("provider", "rep", "other")} | {"similarity": pd.Series(dtype=float)})
         if not len(q) or not len(m):
             return empty
-        index = models.value[key[0]]
+        m = m.sort_values("m_rep")  # places of members are places of their names
         x = _unit(np.frombuffer(b"".join(m["m_raw"]), np.float32).reshape(len(m), -1))
-        codes = np.frombuffer(b"".join(m["m_code"]), np.uint8).reshape(len(m), -1)
-        names, out = m["m_rep"].to_numpy(dtype=object), []
-        for a in range(0, len(q), 1024):
-            part = q.iloc[a : a + 1024]
-            y = _unit(np.frombuffer(b"".join(part["raw"]), np.float32).reshape(len(part), -1))
-            near = index.distances(y.astype(np.float32), int(key[1]), codes)
-            keep = min(len(m), rerank + 1)
-            cand = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(m) else np.tile(np.arange(len(m)), (len(part), 1))
-            if min_similarity is not None:  # coded scores far below the floor need no exact score
-                i, j = np.nonzero(np.take_along_axis(near, cand, 1) > floor - 0.35)
-                j = cand[i, j]
-            else:
-                i, j = np.repeat(np.arange(len(part)), cand.shape[1]), cand.ravel()
-            sim = np.einsum("ij,ij->i", y[i], x[j])
+        names, out, keep = m["m_rep"].to_numpy(dtype=object), [], min(k, len(m))
+        for a in range(0, len(q), SLICE):
+            part = q.iloc[a : a + SLICE]
+            sim = _unit(np.frombuffer(b"".join(part["raw"]), np.float32).reshape(len(part), -1)) @ x.T
             own = part["rep"].to_numpy(dtype=object)
-            ok = (sim >= floor - 1e-12) & (own[i] != names[j])
-            i, j, sim = i[ok], j[ok], sim[ok]
-            order = np.lexsort((names[j].astype(str), -sim, i))
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            same = np.flatnonzero(names[at] == own)
+            sim[same, at[same]] = -np.inf
+            least = np.partition(sim, len(m) - keep, axis=1)[:, len(m) - keep]
+            i, j = np.nonzero(sim >= np.maximum(least - 1e-11, floor - 1e-12)[:, None])  # with all ties of the k-th best
+            sim = sim[i, j]
+            order = np.lexsort((j, -np.round(sim, 12), i))
             i, j, sim = i[order], j[order], sim[order]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
             best = rank < k

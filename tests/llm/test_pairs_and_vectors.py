@@ -92,3 +92,17 @@ def test_copies_dirt_and_hot_lists(spark, monkeypatch):
     for i in ids:
         assert [o for _, o in sorted(got[i])] == [o for _, o in want[i]], i
     assert N.most_similar(df.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.1, 0.0])
+def test_near_and_rescaled_copies_in_one_cloud(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32))
+    x[1000:] = (x[0] + rng.normal(size=(500, 32)) * spread) * rng.uniform(0.5, 2, (500, 1))  # a third of the rows
+    x = x.astype(np.float32).astype(np.float64)  # norms in full precision
+    ids = [f"u{i:05d}" for i in rng.permutation(len(x))]
+    want, got = exact(ids, x, 5), {}
+    for r in N.most_similar(vectors(spark, [(i, "p", "h", 32, v.tolist()) for i, v in zip(ids, x)]), 5).collect():  # 6 lists, all probed
+        got.setdefault(r.unit_id, []).append((r.rank, r.similarity))
+    for i in ids:
+        assert [s for _, s in sorted(got[i])] == pytest.approx([-s for s, _ in want[i]], abs=1e-9), i
