@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector: inverted file with product-quantised residuals."""
+"""Most similar vectors for every vector: inverted file, lists scored exactly."""
 
 from __future__ import annotations
 
@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.stage import stage
 
-#: Vectors per provider on which centroids and codebooks are fitted (all are indexed).
+#: Vectors per provider on which centroids are fitted (all are indexed).
 SAMPLE = 20_000
 #: Vectors per inverted list aimed at, and the most lists of one provider.
 PER_LIST, MAX_LISTS = 256, 4096
 #: Lists probed per query.
 PROBES = 16
-#: Dimensions per sub-quantiser; codes per sub-quantiser.
-SUB, CODES = 8, 256
 #: A list beyond so many members is split, and so are the queries of one list.
 BLOCK, CHUNK = 4096, 8192
 #: Queries of a chunk scored at a time.
@@ -59,26 +57,10 @@ def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and residual codebooks of one provider."""
+    """Coarse centroids of one provider."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
-        x = _unit(sample).astype(np.float32)
-        self.centroids = _kmeans(x, lists, 8, seed)
-        dim = x.shape[1]
-        self.cuts = [(a, min(a + SUB, dim)) for a in range(0, dim, SUB)]
-        rest = x - self.centroids[_nearest(x, self.centroids, 1)[:, 0]]
-        self.books = [_kmeans(rest[:8192, a:b], CODES, 6, seed + a) for a, b in self.cuts]
-
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = x - self.centroids[cell]
-        return np.stack([_nearest(rest[:, a:b], book, 1)[:, 0].astype(np.uint8) for (a, b), book in zip(self.cuts, self.books)], 1)
-
-    def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric inner products of exact queries with coded members of one list."""
-        out = np.repeat((q @ self.centroids[cell])[:, None], len(codes), 1)
-        for j, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
-            out += (q[:, a:b] @ book.T)[:, codes[:, j]]
-        return out
+        self.centroids = _kmeans(_unit(sample).astype(np.float32), lists, 8, seed)
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
@@ -137,22 +119,21 @@ def nearest_classes(classes: DataFrame, k: int, min_similarity: float | None = N
                 raw = np.array(part["vector"].tolist(), np.float32)
                 x, index = _unit(raw).astype(np.float32), models.value[p]
                 cells = _nearest(x, index.centroids, probes)
-                codes = index.encode(x, cells[:, 0])
                 yield pd.DataFrame({
                     "provider": p, "rep": part["rep"].to_numpy(), "raw": [r.tobytes() for r in raw],
-                    "code": [c.tobytes() for c in codes], "cells": list(cells),
+                    "cells": list(cells),
                 })
 
-    kind = "provider string, rep string, raw binary, code binary, cells array<int>"
+    kind = "provider string, rep string, raw binary, cells array<int>"
     rows = stage(classes.select("provider", "rep", "vector").mapInPandas(assign, kind), "assigned")
     wanted = rows.select("provider", F.explode("cells").alias("cell")).groupBy("provider", "cell").agg(F.count(F.lit(1)).alias("q"))
     held = rows.groupBy("provider", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("m"))
     # at most MAX_LISTS rows per provider, of at most 1000 providers
     plan = F.broadcast(held.join(wanted, ["provider", "cell"]).select(
         "provider", "cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks")))
-    members = rows.select("provider", F.col("cells")[0].alias("cell"), "rep", "raw", "code").join(plan, ["provider", "cell"])
+    members = rows.select("provider", F.col("cells")[0].alias("cell"), "rep", "raw").join(plan, ["provider", "cell"])
     members = members.select("provider", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
-                             F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "raw", "code")
+                             F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "raw")
     queries = rows.select("provider", F.explode("cells").alias("cell"), "rep", "raw").join(plan, ["provider", "cell"])
     queries = queries.select("provider", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                              F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "raw")

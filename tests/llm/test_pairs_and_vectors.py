@@ -106,3 +106,17 @@ def test_near_and_rescaled_copies_in_one_cloud(spark, spread):
         got.setdefault(r.unit_id, []).append((r.rank, r.similarity))
     for i in ids:
         assert [s for _, s in sorted(got[i])] == pytest.approx([-s for s, _ in want[i]], abs=1e-9), i
+
+
+def test_late_repositories_of_another_kind(spark):
+    rng = np.random.default_rng(4)
+    x = np.zeros((8900, 16))
+    x[:8500, :8] = rng.normal(size=(8500, 8))
+    x[8500:, 8:] = 3 + rng.normal(size=(400, 8)) * 0.3  # the last ids lie in dimensions of their own
+    x = x.astype(np.float32).astype(np.float64)
+    ids = [f"{'a' if i < 8500 else 'z'}/{i:05d}" for i in range(len(x))]
+    want, got = exact(ids[8500:], x[8500:], 5), {}
+    df = vectors(spark, [(i, "p", "h", 16, v.tolist()) for i, v in zip(ids, x)])
+    for r in N.most_similar(df, 5).where("unit_id like 'z/%'").collect():
+        got.setdefault(r.unit_id, set()).add(r.other_id)
+    assert all(got[i] == {o for _, o in want[i]} for i in want)
