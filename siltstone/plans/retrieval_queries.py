@@ -198,11 +198,11 @@ def rerank_hybrid(spark, folder):
 
 
 def _budget_candidates(spark, folder):
-    """Per repository the units of the twenty longest paths, as candidates of one task each."""
+    """Per repository all units with content in order of path length, as candidates of one task each."""
     units = table(spark, folder, "units").where("content is not null and node_type in ('function', 'method', 'test')").dropDuplicates(["unit_id"])
     repo = F.substring_index("path", "/", 1)
     w = Window.partitionBy("task_id").orderBy(F.length("path").desc(), "unit_id")
-    rows = units.withColumn("task_id", repo).withColumn("n", F.row_number().over(w)).where("n <= 20")
+    rows = units.withColumn("task_id", repo).withColumn("n", F.row_number().over(w))
     return rows.withColumn("score", 1.0 / F.col("n")).withColumn("retrieved_by", F.array(F.when(F.col("n") % 2 == 0, "bm25").otherwise("semantic"))).withColumn("reasons", F.array(F.lit("long path"))).withColumn("graph_distance", F.lit(None).cast("int"))
 
 

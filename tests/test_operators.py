@@ -10,6 +10,7 @@ from siltstone.operators import fusion, history, incremental, routing, selection
 from siltstone.operators import graph as G
 from siltstone.operators import graph_build as B
 from siltstone.operators import hierarchy as H
+from siltstone.plans import retrieval_queries
 
 
 def rows(df, *columns):
@@ -172,6 +173,14 @@ def test_selection_never_exceeds_the_budget(spark, budget):
     assert places == list(range(1, len(places) + 1))
 
 
+def test_budget_queries_take_all_units_of_a_repository(spark, tmp_path):
+    made = [(f"u{i:02d}", f"r/{i:02d}.py", "function", f"f{i}", f"f{i}", 1, 2, "python", f"word{i} " * (1000 if i < 25 else 1)) for i in range(30)]
+    spark.createDataFrame(made, "unit_id string, path string, node_type string, name string, qualname string, start_line int, end_line int, language string, content string").write.parquet(str(tmp_path / "units.parquet"))
+    got = retrieval_queries.budget_select(spark, str(tmp_path)).collect()
+    assert len(got) == 30 and {r.unit_id for r in got if r.selected} == {f"u{i}" for i in range(25, 30)}
+    assert {r.unit_id for r in retrieval_queries.first_fit_budget(spark, str(tmp_path)).collect()} == {f"u{i}" for i in range(25, 30)}
+
+
 def test_first_fit_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([("g", 1, 50), ("g", 2, 60), ("g", 3, 40), ("g", 4, 20)], "g string, n int, cost int")
     assert rows(selection.first_fit(df, 100, group="g", order=["n"], cost="cost"), "n") == [(1,), (3,)]
