@@ -145,6 +145,12 @@ def co_change_pairs(spark, folder):
     return rows.select("path_a", "path_b", "n", F.round("confidence", 6).alias("confidence"))
 
 
+def co_change_counts(spark, folder):
+    """All pairs, also those of one commit, which the SQL of co_change_pairs leaves out."""
+    rows = history.co_changes(_commit_files(spark, folder), 50)
+    return rows.select("path_a", "path_b", "n", F.round("confidence", 6).alias("confidence"))
+
+
 def commit_recency(spark, folder):
     rows = table(spark, folder, "commit_evidence").select("commit_hash", "authored_at").distinct()
     return rows.select("commit_hash", F.round(T.recency(F.col("authored_at"), F.lit(AS_OF).cast("timestamp")), 6).alias("recency"))
@@ -263,7 +269,7 @@ def filename_baseline(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     lexical_bm25_topk, lexical_bm25_stemmed, postings_bm25, query_terms, token_estimate, content_hash_dups, path_features, symbol_match_ladder, symbol_fuzzy, vector_topk, hash_embedding_topk,
-    fresh_embedding_join, pending_embeddings, incremental_diff, keep_last_indexing, parse_failures, index_status, hotspots, co_change_pairs, commit_recency, history_score, anchor_jaccard, candidate_merge,
+    fresh_embedding_join, pending_embeddings, incremental_diff, keep_last_indexing, parse_failures, index_status, hotspots, co_change_pairs, co_change_counts, commit_recency, history_score, anchor_jaccard, candidate_merge,
     noisy_or_fusion, redundancy_penalty, rerank_hybrid, budget_select, first_fit_budget, route_classify, ir_metrics, mean_ir_metrics, interval_coverage, filename_baseline,
 )}
 
@@ -383,6 +389,9 @@ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'deleted'
     "co_change_pairs": f"""WITH {_CF}, k AS (SELECT *, count(*) OVER (PARTITION BY commit_hash) AS k FROM cf), g AS (SELECT * FROM k WHERE k BETWEEN 2 AND 50),
   p AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS n FROM g a JOIN g b ON a.commit_hash = b.commit_hash AND a.path < b.path GROUP BY ALL)
 SELECT path_a, path_b, n, round(least(1.0::DOUBLE, n / (SELECT max(n) FROM p)), 6) AS confidence FROM p WHERE n >= 2""",
+    "co_change_counts": f"""WITH {_CF}, k AS (SELECT *, count(*) OVER (PARTITION BY commit_hash) AS k FROM cf), g AS (SELECT * FROM k WHERE k BETWEEN 2 AND 50),
+  p AS (SELECT a.path AS path_a, b.path AS path_b, count(*) AS n FROM g a JOIN g b ON a.commit_hash = b.commit_hash AND a.path < b.path GROUP BY ALL)
+SELECT path_a, path_b, n, round(least(1.0::DOUBLE, n / (SELECT max(n) FROM p)), 6) AS confidence FROM p""",
     "commit_recency": f"SELECT DISTINCT commit_hash, round(1 / (1 + greatest(0, (epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(authored_at)) / 86400000000) / 365), 6) AS recency FROM commit_evidence",
     "history_score": f"""WITH {_CF}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash ORDER BY authored_at, message) AS _n FROM commit_evidence WHERE commit_hash IS NOT NULL) WHERE _n = 1),
   fl AS (SELECT commit_hash, string_agg(path, ' ' ORDER BY path) AS paths, sum(CASE WHEN path IN (SELECT path FROM files) THEN 1 ELSE 0 END) / count(*) AS existing FROM cf GROUP BY commit_hash),

@@ -213,6 +213,13 @@ def test_log_parsing_and_scope(spark):
     assert history.renames(commits).count() == 3
 
 
+def test_co_change_counts_keep_pairs_of_one_commit(spark, tmp_path):
+    made = [("c1", ["a", "b", "c"]), ("c2", ["a", "b"])]
+    spark.createDataFrame(made, "commit_hash string, changed_files array<string>").write.parquet(str(tmp_path / "commit_evidence.parquet"))
+    got = retrieval_queries.QUERIES["co_change_counts"](spark, str(tmp_path))
+    assert rows(got, "path_a", "path_b", "n", "confidence") == [("a", "b", 2, 1.0), ("a", "c", 1, 0.5), ("b", "c", 1, 0.5)]
+
+
 def test_co_changes_and_gate(spark):
     commits = spark.createDataFrame(
         [("1", "fix the router lookup", dt.datetime(2024, 1, 1), ["a.py", "b.py", "a.py", None, ""], ""), ("2", "tidy", dt.datetime(2024, 6, 1), ["a.py", "b.py"], ""), ("3", "big", dt.datetime(2024, 6, 1), [f"f{i}" for i in range(60)], ""), ("4", "docs", dt.datetime(2024, 6, 1), None, "")],
