@@ -13,11 +13,12 @@ _BREAK = re.compile(r"\n(?:[ \t]*\n)*")
 
 
 def _boundary(text: str, a: int, b: int) -> int:
-    """The strongest cut near the middle of ``text[a:b]``, never outside its middle half.
+    """The strongest cut near the middle of ``text[a:b]``.
 
-    Strength: blank line before unindented text, blank line, unindented line,
-    other line, white space, any character.  Among the strongest the nearest to
-    the middle; of two equally near the left one.
+    Strength in the middle half: blank line before unindented text, blank line,
+    unindented line, other line; then a line end anywhere in the part; then, in
+    the middle half, white space, any character.  Among the strongest the
+    nearest to the middle; of two equally near the left one.
     """
     lo, hi, mid = a + (b - a) // 4, b - (b - a) // 4, (a + b) // 2
     best = (0, 0, 0)
@@ -33,6 +34,10 @@ def _boundary(text: str, a: int, b: int) -> int:
             best = rank
     if best[0]:
         return -best[2]
+    left, right = text.rfind("\n", a, mid), text.find("\n", mid, b - 1)
+    options = [x + 1 for x in (left, right) if x >= 0]
+    if options:
+        return min(options, key=lambda x: (abs(x - mid), x))
     left, right = text.rfind(" ", lo, mid), text.find(" ", mid, hi)
     options = [x + 1 for x in (left, right) if x >= 0]
     if options:

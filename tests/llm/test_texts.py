@@ -25,6 +25,12 @@ def test_pieces_cover_overlap_and_keep_the_limit(text, limit, overlap):
     assert joined == text
 
 
+def test_cuts_between_lines_outside_the_middle_half():
+    text = "a a\n" * 10 + "b " * 180 + "\n" + "c c\n" * 10  # the long line covers the middle half
+    spans = split.bisect(text, 400, 0)
+    assert len(spans) > 1 and all(text[b - 1] == "\n" for _, b in spans)
+
+
 def test_cuts_at_strong_boundaries():
     text = "def a():\n" + "    x = 1\n" * 8 + "\n" + "def b():\n" + "    y = 2\n" * 8
     (_, cut), _ = split.bisect(text, len(text) - 5, 0)
