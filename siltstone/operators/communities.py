@@ -93,26 +93,27 @@ def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     return label
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, weight: str = "weight", most_links: int = 200_000) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, *, weight: str = "weight", most_links: int | None = None) -> DataFrame:
     """``(node_id, community)``; 0 is the largest community, ties by smallest member.
 
     Modularity is separable over connected components up to the total weight,
-    so each component is one group of the greedy merge, if it has at most
-    ``most_links`` links; larger ones are split beforehand by label propagation
-    into parts, which are refined in the same way (a part beyond the limit
-    stays one community).  Isolated nodes are communities of their own.
+    so each component is one group of the greedy merge, whatever its size.  Only
+    a caller who sets ``most_links`` has larger components split beforehand by
+    label propagation, which changes the result: links between the parts are
+    ignored, and a part still beyond the limit stays one community.  Isolated
+    nodes are communities of their own.
     """
     pairs = stage(undirected(edges, weight), "pairs")
     part = components(pairs)
     sized = pairs.join(part.select(F.col("node_id").alias("a"), "component"), "a")
     counts = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") > most_links).select("component")
-    if not large.isEmpty():
+    large = None if most_links is None else counts.where(F.col("n") > most_links).select("component")
+    if large is not None and not large.isEmpty():
         spread = label_propagation(sized.join(large, "component", "left_semi").select("a", "b", "weight"))
         part = part.join(spread, "node_id", "left").select("node_id", F.coalesce("label", "component").alias("component"))
         sized = pairs.join(part.select(F.col("node_id").alias("a"), "component"), "a").join(part.select(F.col("node_id").alias("b"), F.col("component").alias("other")), "b").where("component = other").drop("other")
         counts = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = sized.join(counts.where(F.col("n") <= most_links).select("component"), "component")
+    small = sized if most_links is None else sized.join(counts.where(F.col("n") <= most_links).select("component"), "component")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         got = greedy_modularity(list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None)))

@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import math
 
 import pytest
@@ -156,6 +157,14 @@ def test_communities_of_two_cliques(spark):
     assert [(r.source, r.target) for r in C.crossings(nodes, full, member).collect()] == [("d", "w")]
 
 
+def test_no_size_switches_the_method_of_communities(spark, monkeypatch):
+    assert inspect.signature(C.communities).parameters["most_links"].default is None
+    monkeypatch.setattr(C, "label_propagation", lambda *_: pytest.fail("components are merged, not propagated"))
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)], "source_id string, target_id string, weight double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    assert {r.community for r in C.communities(nodes, edges).collect()} == {0}
+
+
 # -- fusion, selection --------------------------------------------------------
 
 
