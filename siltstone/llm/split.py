@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.stage import stage
+
+#: Repeated ids up to which their list is broadcast; beyond, it is joined by a shuffle.
+MOST_REPEATED = 500_000
+
 _SPANS = "array<struct<begin:int,end:int,first_line:int,last_line:int>>"
 _BREAK = re.compile(r"\n(?:[ \t]*\n)*")
 
@@ -83,7 +88,23 @@ def split_spans(content, limit: int = 4000, overlap: int = 200):
             out.append(got)
         return pd.Series(out)
 
-    return spans(content)
+    return spans.asNondeterministic()(content)  # so that no filter on the spans evaluates it again
+
+
+def without_repeats(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows, shuffling only those whose ``key`` occurs more than once.
+
+    A pass over the keys alone finds the repeated ones; rows of the others go
+    through where they are.  The list of repeated keys is broadcast only if it
+    is short (:data:`MOST_REPEATED`), else joined by a shuffle.
+    """
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").select(key)
+    again = stage(again, "repeated")
+    n = again.count()
+    if not n:
+        return rows
+    repeated = F.broadcast(again) if n <= MOST_REPEATED else again
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").distinct())
 
 
 def split_oversized(units: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
@@ -96,9 +117,11 @@ def split_oversized(units: DataFrame, limit: int = 4000, overlap: int = 200) ->
     ``overlap``, and without overlaps they join to the text.  ``start_line``
     and ``end_line`` count from the unit's own start_line (1 where null).
     Python sees the long texts only and returns offsets; the texts are cut
-    natively.
+    natively.  Repeated rows go before the cut, and no text is shuffled but
+    those of ids that occur more than once.
     """
     rows = units.select("unit_id", "start_line", "content").where(f"unit_id is not null and length(content) > {int(limit)}")
+    rows = without_repeats(rows, "unit_id")
     rows = rows.withColumn("spans", split_spans(F.col("content"), limit, overlap))
     first = F.coalesce("start_line", F.lit(1))
     out = rows.select(
@@ -113,4 +136,4 @@ def split_oversized(units: DataFrame, limit: int = 4000, overlap: int = 200) ->
         F.col("s.begin").alias("begin"),
         F.col("s.end").alias("end"),
         F.substring(F.col("content"), F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")).alias("text"),
-    ).distinct()
+    )
