@@ -37,11 +37,11 @@ def p3_functions(spark, folder):
 
 
 def p4_found(spark, folder):
-    return neighbors.similar_pairs(_table(spark, folder, "unit_vectors"), 5, 0.8, probes=12).select("provider", "unit_id_a", "unit_id_b")
+    return neighbors.similar_pairs(_table(spark, folder, "unit_vectors"), 5, 0.8).select("provider", "unit_id_a", "unit_id_b")
 
 
 def p4_neighbors(spark, folder):
-    return neighbors.most_similar(_table(spark, folder, "unit_vectors"), 5)
+    return neighbors.most_similar(_table(spark, folder, "unit_vectors"), 5, shortlist=32)
 
 
 def p6_found(spark, folder):

@@ -16,7 +16,7 @@ def brute(baskets, least, lift):
     return {p: n for p, n in pairs.items() if n >= least and n * n_scope[p[0].split("/")[0]] >= lift * n_item[p[0]] * n_item[p[1]]}
 
 
-@pytest.mark.parametrize("heavy, block", [(3, 16), (10, 8192), (10_000, 50)])
+@pytest.mark.parametrize("heavy, block", [(1 / 8, 16), (1 / 64, 8192), (0.0, 8192), (2.0, 50)])
 def test_pairs_against_brute_force(spark, heavy, block):
     rng = np.random.default_rng(5)
     rows, sets = [], {}
@@ -62,11 +62,11 @@ def test_recall_and_exact_pairs(spark):
     df = vectors(spark, [(i, "p", "h", 32, v.tolist()) for i, v in zip(ids, x)])
     want = exact(ids, x, 5)
     got = {}
-    for r in N.most_similar(df, 5).collect():
+    for r in N.most_similar(df, 5, probes=90, shortlist=32).collect():
         got.setdefault(r.unit_id, set()).add(r.other_id)
     recall = np.mean([len(got.get(i, set()) & {o for _, o in want[i]}) / 5 for i in ids])
     assert recall >= 0.9, recall
-    pairs = {(r.unit_id_a, r.unit_id_b) for r in N.similar_pairs(df, 5, 0.8, probes=3).collect()}
+    pairs = {(r.unit_id_a, r.unit_id_b) for r in N.similar_pairs(df, 5, 0.8, probes=30).collect()}
     truth = {tuple(sorted((i, o))) for i in ids for s, o in want[i] if -s >= 0.8}
     assert len(pairs & truth) >= 0.97 * len(truth) and not pairs - truth
 
@@ -81,7 +81,7 @@ def test_copies_dirt_and_hot_lists(spark, monkeypatch):
     df = vectors(spark, rows)
     monkeypatch.setattr(N, "BLOCK", 7)
     monkeypatch.setattr(N, "CHUNK", 5)
-    found = N.most_similar(df, 5, probes=50, rerank=200).collect()
+    found = N.most_similar(df, 5, probes=50).collect()
     good = {r[0]: np.array(r[4], np.float32) for r in rows if r[0] and r[1] == "p" and r[0] not in ("null", "short", "zero", "nan", "inf")}
     ids = sorted(good)
     want = exact(ids, np.array([good[i] for i in ids]), 5)
@@ -102,12 +102,32 @@ def test_near_and_rescaled_copies_in_one_cloud(spark, spread):
     x = x.astype(np.float32).astype(np.float64)  # norms in full precision
     ids = [f"u{i:05d}" for i in rng.permutation(len(x))]
     want, got = exact(ids, x, 5), {}
-    for r in N.most_similar(vectors(spark, [(i, "p", "h", 32, v.tolist()) for i, v in zip(ids, x)]), 5).collect():  # 6 lists, all probed
+    for r in N.most_similar(vectors(spark, [(i, "p", "h", 32, v.tolist()) for i, v in zip(ids, x)]), 5, probes=90).collect():  # all lists probed
         got.setdefault(r.unit_id, []).append((r.rank, r.similarity))
     for i in ids:
         assert [s for _, s in sorted(got[i])] == pytest.approx([-s for s, _ in want[i]], abs=1e-9), i
 
 
+def test_shortlists_in_a_near_copy_cloud(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[2000:] = x[0] + rng.normal(size=(1000, 32)) * 0.1  # a third of the rows
+    ids = [f"u{i:05d}" for i in rng.permutation(len(x))]
+    x = x.astype(np.float32)
+    want, got = exact(ids, x, 5), {}
+    for r in N.most_similar(vectors(spark, [(i, "p", "h", 32, v.tolist()) for i, v in zip(ids, x)]), 5, probes=40, shortlist=32).collect():
+        got.setdefault(r.unit_id, set()).add(r.other_id)
+    cloud = ids[2000:]
+    assert np.mean([len(got[i] & {o for _, o in want[i]}) / 5 for i in cloud]) >= 0.9
+
+
+def test_providers_of_two_lengths_and_clashing_columns(spark):
+    rows = [(f"a{i}", "p", "h", 4, [float(i), 1.0, 0.0, 2.0]) for i in range(6)] + [(f"b{i}", "p", "h", 3, [float(i), 1.0, 5.0]) for i in range(6)]
+    df = vectors(spark, rows).selectExpr("*", "1 AS space", "2 AS cell", "3 AS raw")
+    found = N.most_similar(df, 3, probes=9).collect()
+    assert len(found) == 36 and all(r.unit_id[0] == r.other_id[0] and r.provider == "p" for r in found)
+
+
 def test_late_repositories_of_another_kind(spark):
     rng = np.random.default_rng(4)
     x = np.zeros((8900, 16))
@@ -117,6 +137,6 @@ def test_late_repositories_of_another_kind(spark):
     ids = [f"{'a' if i < 8500 else 'z'}/{i:05d}" for i in range(len(x))]
     want, got = exact(ids[8500:], x[8500:], 5), {}
     df = vectors(spark, [(i, "p", "h", 16, v.tolist()) for i, v in zip(ids, x)])
-    for r in N.most_similar(df, 5).where("unit_id like 'z/%'").collect():
+    for r in N.most_similar(df, 5, probes=40).where("unit_id like 'z/%'").collect():
         got.setdefault(r.unit_id, set()).add(r.other_id)
     assert all(got[i] == {o for _, o in want[i]} for i in want)
