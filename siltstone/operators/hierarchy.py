@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.plans.stage import drop, stage
+from siltstone.plans.stage import drop, stage, together
 
+#: Levels joined one by one; what lies deeper is found by pointer doubling.
+LEVELS = 64
 #: Levels after which the links of settled nodes leave the join (doubling, so each link is rewritten a few times at most).
-SHRINK_AT = {4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192}
+SHRINK_AT = {4, 8, 16, 32}
+
 
 def links(df: DataFrame, node: str = "unit_id", parent: str = "parent_id") -> DataFrame:
     """One ``(node, parent)`` row per distinct non-null node; parent null for a root.
@@ -30,8 +33,11 @@ def hierarchy(df: DataFrame, node: str = "unit_id", parent: str = "parent_id", s
     Level-wise frontier joins: the roots are level 0; level ``d+1`` is the join of
     the links on the frontier of level ``d``; links of settled nodes leave the
     table at doubling depths.  A parent with very many children is a skewed key
-    of the links' side only, which AQE splits.  Nodes never reached hang on a cycle:
-    depth -1, ``root`` the smallest node on that cycle, path null.
+    of the links' side only, which AQE splits.  Levels are tables that are read
+    as one, so plans don't grow with the depth.  What :data:`LEVELS` levels
+    don't reach hangs deeper or on a cycle, which pointer doubling tells apart
+    in a logarithmic number of rounds.  On a cycle or below one: depth -1,
+    ``root`` the smallest node on that cycle, path null.
 
     ``separator``: joins the ids of ``path`` (root first); None leaves paths out.
     Empty input gives no rows; null nodes are dropped; depth is unbounded.
@@ -42,53 +48,69 @@ def hierarchy(df: DataFrame, node: str = "unit_id", parent: str = "parent_id", s
     first = table.where("parent is null").select(
         "node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.col("node").alias("path")] if paths else [])
     )
-    frontier = stage(first, "level")
-    done, left, depth = [frontier], table.where("parent is not null"), 0
-    while not frontier.isEmpty():
-        depth += 1
-        up = frontier.select(F.col("node").alias("parent"), "root", *(["path"] if paths else []))
+    size = F.count(F.lit(1))
+    levels, left = [stage(first, "level", n=size)], table.where("parent is not null")
+    while levels[-1].seen["n"] and len(levels) <= LEVELS:
+        depth = len(levels)
+        up = levels[-1].select(F.col("node").alias("parent"), "root", *(["path"] if paths else []))
         level = left.join(up, "parent").select(
             "node", "parent", "root", F.lit(depth).alias("depth"), *([F.concat_ws(separator, "path", "node").alias("path")] if paths else [])
         )
-        frontier = stage(level, "level")
-        done.append(frontier)
+        levels.append(stage(level, "level", n=size))
         if depth in SHRINK_AT:
-            reached = done[0]
-            for x in done[1:]:
-                reached = reached.unionByName(x)
-            left = stage(left.join(reached.select("node"), "node", "left_anti"), "links")
-    reached = done[0]
-    for x in done[1:]:
-        reached = reached.unionByName(x)
-    rest = stage(left.join(reached.select("node"), "node", "left_anti"), "unreached")
-    reached = reached.select(*columns, F.lit(False).alias("cyclic"))
-    if rest.isEmpty():
-        return reached
-    found = cycles(rest).withColumn("depth", F.lit(-1))
+            left = stage(left.join(together(levels).select("node"), "node", "left_anti"), "links")
+    reached = together(levels)
+    rest = stage(left.join(reached.select("node"), "node", "left_anti"), "unreached", n=size)
+    out = reached.select(*columns, F.lit(False).alias("cyclic"))
+    if not rest.seen["n"]:
+        return out
+    deep = _doubled(rest, reached)
+    acyclic = deep.where("done").select("node", "parent", "root", "depth")
     if paths:
-        found = found.withColumn("path", F.lit(None).cast("string"))
-    return reached.unionByName(found.select(*columns, F.lit(True).alias("cyclic")))
+        acyclic = _with_paths(stage(acyclic, "deep", n=size), reached, separator)
+    # every pointer that never ends is on its cycle by now, and the least id it passed is that of the whole cycle
+    endless = deep.where("not done")
+    lows = endless.select(F.col("node").alias("to"), F.col("low").alias("smallest"))
+    cyclic = endless.join(lows, "to").select("node", "parent", F.col("smallest").alias("root"), F.lit(-1).alias("depth"), *([F.lit(None).cast("string").alias("path")] if paths else []))
+    return out.unionByName(acyclic.select(*columns, F.lit(False).alias("cyclic"))).unionByName(cyclic.select(*columns, F.lit(True).alias("cyclic")))
 
 
-def cycles(rest: DataFrame) -> DataFrame:
-    """``(node, parent, root)`` of nodes all of which lead into a cycle.
+def _doubled(rest: DataFrame, reached: DataFrame) -> DataFrame:
+    """``(node, parent, to, steps, low, done, root, depth)`` of unreached nodes: done with root and depth, or endless.
 
-    Pointer doubling: after 2^k >= n steps every pointer is on the cycle; the
-    smallest id over as many further steps is that of the whole cycle.
+    A pointer jumps as far as its target's pointer does, until it ends at a settled
+    node; what 2^k >= n steps don't settle is on a cycle or below one.
     """
-    n = rest.count()
-    hop = rest.select("node", F.col("parent").alias("to"), F.least("node", "parent").alias("low"))
-    steps = 1
-    while steps < n:
-        nxt = hop.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+    settled = reached.select(F.col("node").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"))
+    hop = rest.join(settled, "parent", "left").select(
+        "node", "parent", F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps"), F.least("node", "parent").alias("low"),
+        F.col("r").isNotNull().alias("done"), F.col("r").alias("root"), (F.col("d") + 1).alias("depth"))
+    hop = stage(hop, "hop", open=F.count(F.when(~F.col("done"), 1)))
+    steps, most = 1, hop.seen["open"]
+    while hop.seen["open"] and steps < most:
+        nxt = hop.select(F.col("node").alias("to"), *(F.col(c).alias(f"n_{c}") for c in ("to", "steps", "low", "done", "root", "depth")))
+        moved = hop.where("not done").join(nxt, "to").select(
+            "node", "parent", F.when(F.col("n_done"), F.col("to")).otherwise(F.col("n_to")).alias("to"), (F.col("steps") + F.when(F.col("n_done"), F.lit(0)).otherwise(F.col("n_steps"))).alias("steps"),
+            F.least("low", "n_low").alias("low"), F.col("n_done").alias("done"), F.col("n_root").alias("root"), (F.col("n_depth") + F.col("steps")).cast("int").alias("depth"))
         old = hop
-        hop = stage(hop.join(nxt, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "hop")
-        if steps > 1:
-            drop(old)
+        hop = stage(hop.where("done").unionByName(moved), "hop", open=F.count(F.when(~F.col("done"), 1)))
+        drop(old)
         steps *= 2
-    on_cycle = hop.select(F.col("node").alias("to"), F.col("low").alias("root"))
-    ends = hop.select("node", "to").join(on_cycle, "to").select("node", "root")
-    return rest.join(ends, "node").select("node", "parent", "root")
+    return hop
+
+
+def _with_paths(deep: DataFrame, reached: DataFrame, separator: str) -> DataFrame:
+    """Adds ``path`` to nodes below the reached ones: segments double until they begin at a reached node."""
+    held = reached.select(F.col("node").alias("parent"), F.col("path").alias("above"))
+    hop = deep.join(held, "parent", "left").select("*", F.col("parent").alias("to"), F.concat_ws(separator, "above", "node").alias("segment"), F.col("above").isNotNull().alias("whole")).drop("above")
+    hop = stage(hop, "hop", open=F.count(F.when(~F.col("whole"), 1)))
+    while hop.seen["open"]:
+        nxt = hop.select(F.col("node").alias("to"), F.col("to").alias("n_to"), F.col("segment").alias("n_segment"), F.col("whole").alias("n_whole"))
+        moved = hop.where("not whole").join(nxt, "to").select("node", "parent", "root", "depth", F.col("n_to").alias("to"), F.concat_ws(separator, "n_segment", "segment").alias("segment"), F.col("n_whole").alias("whole"))
+        old = hop
+        hop = stage(hop.where("whole").select(*moved.columns).unionByName(moved), "hop", open=F.count(F.when(~F.col("whole"), 1)))
+        drop(old)
+    return hop.select("node", "parent", "root", "depth", F.col("segment").alias("path"))
 
 
 def descendants(df: DataFrame, node: str = "unit_id", parent: str = "parent_id") -> DataFrame:

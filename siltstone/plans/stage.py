@@ -7,31 +7,52 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a local folder (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a local folder on a local master, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
         folder = os.path.join(tempfile.gettempdir(), "siltstone-stage")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **observed) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     The table survives the loss of executors, and later plans start from it.
+    With ``observed`` (names and aggregates) the result has an attribute ``seen``
+    with their values, which come with the write and cost no job.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if observed else None
+    watched = df.observe(seen, *(e.alias(k) for k, e in observed.items())) if observed else df
+    watched.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path, out.seen = path, (seen.get if seen else {})
+    return out
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several staged tables of one schema as a single scan, however many they are."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p.path for p in parts))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables staged by this session so far; no plan may read them any more."""
+    global _written
+    mine, _written = [p for s, p in _written if s is spark], [(s, p) for s, p in _written if s is not spark]
+    for path in mine:
+        _delete(spark, path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -77,4 +98,4 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended
-            return
+            continue
