@@ -1,11 +1,7 @@
-"""Communities by greedy modularity, and summaries of clustered graphs."""
+"""Communities by modularity, and summaries of clustered graphs."""
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,93 +33,73 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new.select("node_id", "component")
 
 
-def greedy_modularity(links: list[tuple[str, str, float]]) -> dict[str, str]:
-    """node -> smallest member of its community (Clauset, Newman & Moore 2004).
+#: Least gain of modularity for which another level is worth its rounds, and rounds of local moves per level.
+LEAST_GAIN, ROUNDS = 1e-3, 6
+
+
+def _moves(links: DataFrame, strength: DataFrame, total: float, level: int) -> DataFrame:
+    """``(node, home)`` after rounds of local moves to the neighbouring community of largest gain.
 
-    Merges the pair of communities that gains most modularity until none gains;
-    of equal gains the smallest names.
+    Gains are those of the whole graph (``total`` is the sum of all link ends).
+    In each round a hashed half of the nodes may move, so that neighbours don't
+    swap places for ever; a node alone joins another one alone only towards the smaller name.
     """
-    total = sum(w for _, _, w in links)
-    weight: dict = defaultdict(lambda: defaultdict(float))
-    share: dict = defaultdict(float)
-    for a, b, w in links:
-        weight[a][b] += w
-        weight[b][a] += w
-        share[a] += w / (2 * total)
-        share[b] += w / (2 * total)
-    owner = {n: n for n in weight}
-    members = {n: [n] for n in weight}
-    stamp = dict.fromkeys(weight, 0)
-    heap = [(-(w / total - 2 * share[a] * share[b]), a, b, 0, 0) for a in weight for b, w in weight[a].items() if a < b]
-    heapq.heapify(heap)
-    while heap:
-        gain, a, b, sa, sb = heapq.heappop(heap)
-        if gain >= -1e-15:
+    home = strength.select("node", F.col("node").alias("home"), "k")
+    others = stage(links.where("a <> b"), "links")
+    for step in range(ROUNDS):
+        sums = home.groupBy("home").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+        near = others.join(home.select(F.col("node").alias("b"), F.col("home").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
+        here = home.join(sums.withColumnsRenamed({"tot": "own_tot", "size": "own_size"}), "home")
+        rows = near.join(sums.withColumnRenamed("home", "to"), "to").join(here, F.col("a") == F.col("node"))
+        same = F.col("to") == F.col("home")
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0.0)) / total
+        alone = (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("to") > F.col("home"))
+        stay = F.coalesce(F.max(F.when(same, gain)), -F.first("k") * (F.first("own_tot") - F.first("k")) / total)
+        best = F.max(F.when(~same & ~alone, F.struct(F.round(gain, 9).alias("gain"), F.col("to"))))
+        picked = rows.groupBy("node").agg(best.alias("best"), stay.alias("stay"))
+        turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(step)), F.lit(2)) == 0
+        moving = turn & (F.col("best.gain") > F.col("stay") + 1e-9)
+        new = home.join(picked, "node", "left").select("node", F.when(moving, F.col("best.to")).otherwise(F.col("home")).alias("home"), "k", F.coalesce(moving, F.lit(False)).alias("moved"))
+        home = stage(new, "homes", moved=F.count(F.when(F.col("moved"), 1)), n=F.count(F.lit(1)))
+        moved, n = home.seen["moved"], home.seen["n"]
+        home = home.drop("moved")
+        if step and moved * 50 <= n:
             break
-        if a not in members or b not in members or stamp[a] != sa or stamp[b] != sb:
-            continue
-        for c, w in weight.pop(b).items():
-            weight[c].pop(b, None)
-            if c != a:
-                weight[a][c] += w
-                weight[c][a] = weight[a][c]
-        share[a] += share.pop(b)
-        members[a] += members.pop(b)
-        stamp[a] += 1
-        for c, w in weight[a].items():
-            x, y = min(a, c), max(a, c)
-            heapq.heappush(heap, (-(w / total - 2 * share[x] * share[y]), x, y, stamp[x], stamp[y]))
-    for c, nodes in members.items():
-        low = min(nodes)
-        for n in nodes:
-            owner[n] = low
-    return owner
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node_id, label)``: each round a node takes the label of the largest summed weight around it (ties: smallest)."""
-    both = stage(pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "links")
-    label = both.select(F.col("a").alias("node_id")).distinct().withColumn("label", F.col("node_id"))
-    for i in range(rounds):
-        votes = both.join(label.withColumnRenamed("node_id", "b"), "b").groupBy(F.col("a").alias("node_id"), "label").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy("node_id").agg(F.min(F.struct((-F.round("votes", 9)).alias("v"), F.col("label").alias("label"))).alias("best"))
-        # nodes of alternating parity move in alternating rounds, which keeps two-coloured graphs from swapping labels
-        moves = F.pmod(F.xxhash64("node_id"), F.lit(2)) == i % 2
-        label = stage(label.join(best, "node_id").select("node_id", F.when(moves, F.col("best.label")).otherwise(F.col("label")).alias("label")), "labels")
-    return label
-
-
-def communities(nodes: DataFrame, edges: DataFrame, *, weight: str = "weight", most_links: int | None = None) -> DataFrame:
+    return home.select("node", "home")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, *, weight: str = "weight") -> DataFrame:
     """``(node_id, community)``; 0 is the largest community, ties by smallest member.
 
-    Modularity is separable over connected components up to the total weight,
-    so each component is one group of the greedy merge, whatever its size.  Only
-    a caller who sets ``most_links`` has larger components split beforehand by
-    label propagation, which changes the result: links between the parts are
-    ignored, and a part still beyond the limit stays one community.  Isolated
-    nodes are communities of their own.
+    Modularity of the whole graph by local moves and contraction (Blondel et
+    al. 2008), the same at every size: each level moves nodes to the
+    neighbouring community of largest gain, then communities become the nodes of
+    the next level, until a level gains nothing.  All state is in tables;
+    a round is joins and sums by node and community, and three numbers reach the
+    driver.  Isolated nodes are communities of their own.
     """
-    pairs = stage(undirected(edges, weight), "pairs")
-    part = components(pairs)
-    sized = pairs.join(part.select(F.col("node_id").alias("a"), "component"), "a")
-    counts = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = None if most_links is None else counts.where(F.col("n") > most_links).select("component")
-    if large is not None and not large.isEmpty():
-        spread = label_propagation(sized.join(large, "component", "left_semi").select("a", "b", "weight"))
-        part = part.join(spread, "node_id", "left").select("node_id", F.coalesce("label", "component").alias("component"))
-        sized = pairs.join(part.select(F.col("node_id").alias("a"), "component"), "a").join(part.select(F.col("node_id").alias("b"), F.col("component").alias("other")), "b").where("component = other").drop("other")
-        counts = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = sized if most_links is None else sized.join(counts.where(F.col("n") <= most_links).select("component"), "component")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = greedy_modularity(list(pdf[["a", "b", "weight"]].sort_values(["a", "b"]).itertuples(index=False, name=None)))
-        return pd.DataFrame({"node_id": list(got), "home": list(got.values())})
-
-    merged = small.groupBy("component").applyInPandas(merge, "node_id string, home string")
-    home = nodes.select("node_id").distinct().join(part, "node_id", "left").join(merged, "node_id", "left").select("node_id", F.coalesce("home", "component", "node_id").alias("home"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("low"))
+    pairs = undirected(edges, weight)
+    links = stage(pairs.select("a", "b", F.col("weight").alias("w")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").alias("w"))), "links", total=F.sum("w"))
+    total = float(links.seen["total"] or 0.0)
+    member, best, level = None, -1.0, 0
+    while total > 0:
+        strength = stage(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "strength")
+        home = stage(_moves(links, strength, total, level).withColumn("low", F.min("node").over(Window.partitionBy("home"))).select("node", F.col("low").alias("home")), "homes")
+        a, b = home.select(F.col("node").alias("a"), F.col("home").alias("ha")), home.select(F.col("node").alias("b"), F.col("home").alias("hb"))
+        merged = links.join(a, "a").join(b, "b").groupBy(F.col("ha").alias("a"), F.col("hb").alias("b")).agg(F.sum("w").alias("w"))
+        merged = stage(merged, "links", inner=F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)))
+        squares = merged.groupBy("a").agg((F.sum("w") / total).alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+        quality = merged.seen["inner"] / total - squares
+        if quality < best + LEAST_GAIN:
+            break
+        step = home.select(F.col("node").alias("home"), F.col("home").alias("next"))
+        member = stage(home.select(F.col("node").alias("node_id"), "home") if member is None else member.join(step, "home").select("node_id", F.col("next").alias("home")), "members")
+        links, best, level = merged, quality, level + 1
+    ids = nodes.select("node_id").distinct()
+    homes = ids.withColumn("home", F.col("node_id")) if member is None else ids.join(member, "node_id", "left").select("node_id", F.coalesce("home", "node_id").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("low"))
     number = ranked(sizes, [F.desc("size"), F.col("low")], "community").select("home", F.col("community").cast("int").alias("community"))
-    return home.join(number, "home").select("node_id", "community")
+    return homes.join(number, "home").select("node_id", "community")
 
 
 def summary(nodes: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:

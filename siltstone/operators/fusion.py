@@ -95,15 +95,28 @@ def rerank(candidates: DataFrame, units: DataFrame, task: str, *, redundancy: bo
     return rows.withColumn("rank", F.row_number().over(order))  # candidates of one task: bounded by the retrievers' limits
 
 
+#: Lines of a bucket in which overlapping ranges meet.
+BUCKET = 64
+
+
 def redundancy_penalty(rows: DataFrame) -> DataFrame:
-    """Lowers ``score`` of ranges that a better-ranked range of the same path covers; a self-join by path.
+    """Lowers ``score`` of ranges that a better-ranked range of the same path covers.
 
-    Needs unit_id, path, start_line, end_line, score, estimated_tokens.
+    Needs unit_id, path, start_line, end_line, score, estimated_tokens.  Ranges
+    meet in buckets of lines, each pair only in the bucket where the later one
+    starts, so only ranges that do overlap make pairs, however long a file is.
     """
-    key = lambda a: F.struct(-F.round(f"{a}.score", 12), f"{a}.estimated_tokens", f"{a}.path", f"{a}.start_line", f"{a}.unit_id")
-    a, b = rows.alias("a"), rows.select("unit_id", "path", "start_line", "end_line", "score", "estimated_tokens").alias("b")
-    share = line_overlap(F.col("a.start_line"), F.col("a.end_line"), F.col("b.start_line"), F.col("b.end_line")) / F.greatest(F.lit(1), F.col("a.end_line") - F.col("a.start_line") + 1)
-    worst = a.join(b, (F.col("a.path") == F.col("b.path")) & (key("b") < key("a"))).groupBy("a.unit_id").agg(F.max(share).alias("overlap"))
+    # a range is in all its buckets as one that may hold another, and in its first one as one that starts there
+    slim = rows.select("unit_id", "path", "start_line", "end_line", F.struct(-F.round("score", 12), "estimated_tokens", "path", "start_line", "unit_id").alias("key"))
+    slim = slim.where("start_line <= end_line").withColumns({"from_": F.floor(F.col("start_line") / BUCKET), "to_": F.floor(F.col("end_line") / BUCKET)})
+    a = slim.select("path", F.col("from_").alias("bucket"), *(F.col(c).alias(f"a_{c}") for c in ("unit_id", "start_line", "end_line", "key")))
+    b = slim.select("path", F.explode(F.sequence("from_", "to_")).alias("bucket"), *(F.col(c).alias(f"b_{c}") for c in ("unit_id", "start_line", "end_line", "key")))
+    # the one of ``a`` starts last (of equal starts, both orders would meet: then the larger id)
+    met = a.join(b, ["path", "bucket"]).where("struct(b_start_line, b_unit_id) < struct(a_start_line, a_unit_id)")
+    shared = line_overlap(F.col("a_start_line"), F.col("a_end_line"), F.col("b_start_line"), F.col("b_end_line"))
+    worse = F.when(F.col("b_key") < F.col("a_key"), F.struct(F.col("a_unit_id").alias("unit_id"), (F.col("a_end_line") - F.col("a_start_line") + 1).alias("n"))).otherwise(
+        F.struct(F.col("b_unit_id").alias("unit_id"), (F.col("b_end_line") - F.col("b_start_line") + 1).alias("n")))
+    worst = met.select(worse.alias("w"), shared.alias("shared")).groupBy(F.col("w.unit_id").alias("unit_id")).agg(F.max(F.col("shared") / F.greatest(F.lit(1), F.col("w.n"))).alias("overlap"))
     out = rows.join(worst, "unit_id", "left").na.fill(0.0, ["overlap"])
     penalty = F.when(F.col("overlap") >= OVERLAP_FROM, F.least(F.lit(MOST_OVERLAP), F.col("overlap") * PER_OVERLAP)).otherwise(0.0)
     return out.withColumn("redundancy_penalty", penalty).withColumn("score", F.greatest(F.lit(0.0), F.col("score") - penalty))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.fuzzy import weighted_ratio_udf
-from siltstone.plans.stage import spread, stage
+from siltstone.plans.stage import spread, stage, together
 
 
 def both_ways(edges: DataFrame, edge_types=None) -> DataFrame:
@@ -50,7 +50,8 @@ def neighbors(edges: DataFrame, starts: DataFrame, *, nodes: DataFrame | None =
     parents in their own order, then edges by confidence, other id, direction;
     ``confidence`` is the product along that path, ``place`` the order of
     discovery up to ``limit`` per start.  Level by level: frontier join edges,
-    rank, anti-join of the visited.
+    rank, anti-join of the visited.  A hub's links are cut to the first
+    ``limit`` before they are shuffled, since no later one can have a place.
     """
     hops = both_ways(edges, edge_types)
     if nodes is not None:
@@ -67,7 +68,8 @@ def neighbors(edges: DataFrame, starts: DataFrame, *, nodes: DataFrame | None =
         found = found.join(seen.select("start", F.col("node_id").alias("to")), ["start", "to"], "left_anti")
         before = seen.groupBy("start").agg(F.max("place").alias("before"))
         order = Window.partitionBy("start").orderBy("parent_place", F.desc("confidence"), "to", "direction")
-        found = found.join(before, "start").withColumn("place", F.col("before") + F.row_number().over(order)).where(F.col("place") <= limit)
+        found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+        found = found.join(before, "start").withColumn("place", F.col("before") + F.col("n")).where(F.col("place") <= limit)
         frontier = found.select("start", F.col("to").alias("node_id"), F.lit(depth).alias("distance"), "edge_type", "direction", (F.col("so_far") * F.col("confidence")).alias("confidence"), "place")
         if depth < max_depth:
             frontier = stage(frontier, "frontier")
@@ -77,51 +79,72 @@ def neighbors(edges: DataFrame, starts: DataFrame, *, nodes: DataFrame | None =
     return seen.where("distance > 0").select(*kept)
 
 
-def hop_distances(edges: DataFrame, source: str, *, max_hops: int = 50) -> DataFrame:
-    """``(node_id, hops, parent)`` of every node reachable from ``source`` ignoring direction; parent is the smallest id one step nearer."""
+def within(edges: DataFrame, starts: DataFrame, max_depth: int, *, edge_types=None) -> DataFrame:
+    """``(start, node_id, distance)`` of everything at most ``max_depth`` steps from each start, both ways, without a limit."""
+    hops = both_ways(edges, edge_types).select("at", "to").distinct()
+    levels = [stage(starts.select("start").distinct().select("start", F.col("start").alias("node_id"), F.lit(0).alias("distance")), "level")]
+    for depth in range(1, max_depth + 1):
+        found = levels[-1].select("start", F.col("node_id").alias("at")).join(hops, "at").select("start", F.col("to").alias("node_id")).distinct()
+        found = found.join(together(levels).select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("distance", F.lit(depth))
+        levels.append(stage(found, "level", n=F.count(F.lit(1))))
+        if not levels[-1].seen["n"]:
+            break
+    return together(levels).where("distance > 0")
+
+
+def _search(edges: DataFrame, source: str, target: str | None = None) -> list[DataFrame]:
+    """Levels ``(node_id, hops, parent)`` of a breadth-first search ignoring direction, until the target or nothing new is found.
+
+    One job per level: the write of a level also tells whether it is empty and has the target.
+    """
     hops = stage(both_ways(edges).where("at <> to").select("at", "to").distinct(), "hops")
-    seen = edges.sparkSession.createDataFrame([(source, 0, None)], "node_id string, hops int, parent string")
-    frontier = seen
-    for step in range(1, max_hops + 1):
-        nxt = frontier.select(F.col("node_id").alias("at")).join(hops, "at").groupBy(F.col("to").alias("node_id")).agg(F.min("at").alias("parent"))
-        frontier = stage(nxt.join(seen.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(step).alias("hops"), "parent"), "frontier")
-        if frontier.isEmpty():
+    kind = "node_id string, hops int, parent string"
+    levels = [stage(edges.sparkSession.createDataFrame([(source, 0, None)], kind), "level")]
+    found = source == target
+    while not found:
+        nxt = levels[-1].select(F.col("node_id").alias("at")).join(hops, "at").groupBy(F.col("to").alias("node_id")).agg(F.min("at").alias("parent"))
+        # a neighbour of the last level lies in that level, the one before, or the next one
+        known = together(levels[-2:]).select("node_id")
+        new = nxt.join(known, "node_id", "left_anti").select("node_id", F.lit(len(levels)).alias("hops"), "parent")
+        level = stage(new, "level", n=F.count(F.lit(1)), hit=F.count(F.when(F.col("node_id") == F.lit(target), 1)))
+        if not level.seen["n"]:
             break
-        seen = stage(seen.unionByName(frontier), "seen")
-    return seen
+        levels.append(level)
+        found = level.seen["hit"] > 0
+    return levels
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, *, max_hops: int = 50) -> DataFrame:
-    """``(step, source_id, target_id, edge_type, direction, confidence)`` of one shortest undirected path.
+def hop_distances(edges: DataFrame, source: str) -> DataFrame:
+    """``(node_id, hops, parent)`` of every node reachable from ``source`` ignoring direction; parent is the smallest id one step nearer."""
+    return together(_search(edges, source))
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """``(step, source_id, target_id, edge_type, direction, confidence)`` of one shortest undirected path, however long.
 
     Search stops at the level that reaches the target.  A step shows its most
     confident edge and that edge's own direction.  No path: no rows.
     """
     spark = edges.sparkSession
-    hops = both_ways(edges).where("at <> to").select("at", "to").distinct()
-    seen = spark.createDataFrame([(source, None, 0)], "node_id string, parent string, hops int")
-    frontier, found = seen, source == target
-    for step in range(1, max_hops + 1):
-        if found:
-            break
-        nxt = frontier.select(F.col("node_id").alias("at")).join(hops, "at").groupBy(F.col("to").alias("node_id")).agg(F.min("at").alias("parent"))
-        frontier = stage(nxt.join(seen.select("node_id"), "node_id", "left_anti").select("node_id", "parent", F.lit(step).alias("hops")), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = stage(seen.unionByName(frontier), "seen")
-        found = not frontier.where(F.col("node_id") == target).isEmpty()
-    chain, at = [], target
-    while found and at != source:  # at most max_hops steps
-        before = seen.where(F.col("node_id") == at).select("parent").first()[0]
+    levels, chain, at = _search(edges, source, target), [], target
+    if levels[-1].where(F.col("node_id") == target).isEmpty():
+        levels = levels[:1]
+    for level in reversed(levels[1:]):  # one row of each level
+        before = level.where(F.col("node_id") == at).select("parent").first()[0]
         chain.append((before, at))
         at = before
     steps = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(reversed(chain), 1)], "step int, source_id string, target_id string")
     e = both_ways(edges).select(F.col("at").alias("source_id"), F.col("to").alias("target_id"), "edge_type", "direction", "confidence")
     best = Window.partitionBy("step").orderBy(F.desc("confidence"), "edge_type", "direction")
-    rows = e.join(F.broadcast(steps), ["source_id", "target_id"])  # at most max_hops rows
+    rows = e.join(steps, ["source_id", "target_id"])  # a row per step: the planner broadcasts it while it is small
     return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("step", "source_id", "target_id", "edge_type", "direction", "confidence").orderBy("step")
 
 
+def get_node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node of an id; no rows for an unknown one."""
+    return nodes.where(F.col("node_id") == node_id).limit(1)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``(node_id, degree)``: edge ends, parallel edges counted, a self-loop twice."""
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))

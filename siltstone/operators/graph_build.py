@@ -67,7 +67,9 @@ def resolve_hints(hints: DataFrame, units: DataFrame) -> DataFrame:
 
     rows = rows.join(one.select(F.col("unit_id").alias("target"), F.col("unit_id").alias("t1")), "target", "left")
     rows = rows.join(unique(["qualname"], "t2").withColumnRenamed("qualname", "clean"), "clean", "left")
-    rows = rows.join(unique(["qualname"], "t3").withColumnRenamed("qualname", "relative"), "relative", "left")
+    # few hints are relative, so only those meet the names; the others would all hash to one place as nulls
+    local = rows.where("relative is not null").join(unique(["qualname"], "t3").withColumnRenamed("qualname", "relative"), "relative", "left")
+    rows = local.unionByName(rows.where("relative is null").withColumn("t3", F.lit(None).cast("string")))
     rows = rows.join(unique(["name"], "t4").withColumnRenamed("name", "last"), "last", "left")
     rows = rows.join(unique(["path", "name"], "t5").withColumnRenamed("path", "source_path").withColumnRenamed("name", "last"), ["source_path", "last"], "left")
     modules = one.where("node_type = 'module'")
@@ -130,30 +132,46 @@ def resolve_artifacts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     also files of that module or stem, and nodes labelled with its last name.  One
     candidate (or the only one in the source's file) makes the edge, INFERRED
     for calls and inherits; several make up to five AMBIGUOUS ones; none makes
-    an external node.
+    an external node.  A name that thousands share is a list of its five
+    smallest nodes before it meets the references, so no hot name makes pairs.
     """
-    edges = edges.select("source", F.nullif("target", F.lit("")).alias("target"), F.coalesce("target_ref", F.lit("")).alias("target_ref"), "relation", "confidence", "source_location").withColumn("edge", F.xxhash64("source", "target", "target_ref", "relation", "source_location", "confidence"))
+    edges = edges.select("source", F.nullif("target", F.lit("")).alias("target"), F.coalesce("target_ref", F.lit("")).alias("target_ref"), "relation", "confidence", "source_location")
     ids = nodes.select(F.col("id").alias("target"))
     direct = edges.join(ids, "target", "left_semi").select("source", "target", "relation", "confidence", "source_location", "target_ref")
     open_ = edges.join(ids.withColumn("known", F.lit(1)), "target", "left").where("known is null").drop("known", "target")
     open_ = open_.withColumn("whole", normal_reference(F.col("target_ref"))).withColumn("last", normal_reference(F.substring_index(F.substring_index("target_ref", ".", -1), "::", -1)))
-    names = nodes.select(F.col("id").alias("candidate"), F.col("source_file").alias("candidate_file"), normal_reference(F.col("label")).alias("n_label"), normal_reference(F.col("qualname")).alias("n_qualname"), "kind")
-    stem = F.regexp_replace("candidate_file", r"\.[^./]*$", "")
-    files = names.where("kind = 'file'").select("candidate", "candidate_file", F.explode(F.array(normal_reference(stem), normal_reference(F.substring_index(stem, "/", -1)))).alias("whole")).distinct()
-    a = open_.join(names.where("n_qualname <> ''").select("candidate", "candidate_file", F.col("n_qualname").alias("whole")), "whole")
-    b = open_.where("relation = 'imports'").join(files, "whole")
-    c = open_.join(names.where("n_label <> ''").select("candidate", "candidate_file", F.col("n_label").alias("last")), "last")
-    cols = [*open_.columns, "candidate", "candidate_file"]
-    found = a.select(*cols).unionByName(b.select(*cols)).unionByName(c.select(*cols)).distinct()
-    here = nodes.select(F.col("id").alias("source"), F.col("source_file").alias("source_file"))
-    per_edge = Window.partitionBy("edge")
-    found = found.join(here, "source").withColumn("same", F.coalesce(F.col("candidate_file") == F.col("source_file"), F.lit(False)).cast("int"))
-    found = found.withColumn("n", F.count(F.lit(1)).over(per_edge)).withColumn("n_same", F.sum("same").over(per_edge))
-    found = found.where("n_same <> 1 or same = 1").withColumn("place", F.row_number().over(per_edge.orderBy("candidate"))).where(F.col("place") <= MOST_AMBIGUOUS)
-    one = (F.col("n") == 1) | (F.col("n_same") == 1)
-    label = F.when(~one, "AMBIGUOUS").when(F.col("relation").isin("calls", "inherits"), "INFERRED").otherwise(F.col("confidence"))
+    names = nodes.select(F.col("id").alias("candidate"), F.col("source_file").alias("file"), normal_reference(F.col("label")).alias("n_label"), normal_reference(F.col("qualname")).alias("n_qualname"), "kind")
+    stem = F.regexp_replace("file", r"\.[^./]*$", "")
+    modules = names.where("kind = 'file'").select("candidate", "file", F.explode(F.array(normal_reference(stem), normal_reference(F.substring_index(stem, "/", -1)))).alias("key")).distinct()
+    keyed = {"whole": names.where("n_qualname <> ''").select("candidate", "file", F.col("n_qualname").alias("key")), "imports": modules,
+             "last": names.where("n_label <> ''").select("candidate", "file", F.col("n_label").alias("key"))}
+    here = nodes.select(F.col("id").alias("source"), F.col("source_file").alias("file")).dropDuplicates(["source"])
+    rows = open_.join(here, "source", "left")
+
+    def fewest(table, keys, most, name):
+        """The ``most`` smallest candidates of each key: a name that thousands share is cut before it is shuffled."""
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))
+        few = table.select(*keys, "candidate").distinct().withColumn("n_", place).where(F.col("n_") <= most)
+        return few.groupBy(*keys).agg(F.sort_array(F.collect_list("candidate")).alias(name))
+
+    for way, table in keyed.items():
+        side = "last" if way == "last" else "whole"
+        rows = rows.join(fewest(table, ["key"], MOST_AMBIGUOUS, f"any_{way}").withColumnRenamed("key", side), side, "left")
+        rows = rows.join(fewest(table, ["key", "file"], 2, f"own_{way}").withColumnRenamed("key", side), [side, "file"], "left")
+    none = F.array().cast("array<string>")
+
+    def joined(prefix):
+        """Candidates by any way; those of module names count for imports only."""
+        modules_ = F.when(F.col("relation") == "imports", F.coalesce(f"{prefix}_imports", none)).otherwise(none)
+        return F.array_sort(F.array_union(F.array_union(F.coalesce(f"{prefix}_whole", none), modules_), F.coalesce(f"{prefix}_last", none)))
+
+    # the smallest five of a union are among the smallest five of its parts, and one is the only one if the parts' shortest lists agree
+    rows = rows.withColumn("any_", joined("any")).withColumn("own_", joined("own"))
+    chosen = F.when(F.size("own_") == 1, F.col("own_")).otherwise(F.slice("any_", 1, MOST_AMBIGUOUS))
+    found = rows.withColumn("chosen", chosen).where("size(chosen) > 0").select("*", F.explode("chosen").alias("candidate"))
+    label = F.when(F.size("chosen") > 1, "AMBIGUOUS").when(F.col("relation").isin("calls", "inherits"), "INFERRED").otherwise(F.col("confidence"))
     resolved = found.select("source", F.col("candidate").alias("target"), "relation", label.alias("confidence"), "source_location", "target_ref")
-    lost = open_.where("target_ref <> ''").join(found.select("edge").distinct(), "edge", "left_anti")
+    lost = rows.where("target_ref <> '' and size(any_) = 0")
     outside = lost.select("source", external_id(F.col("relation"), F.col("target_ref")).alias("target"), "relation", "confidence", "source_location", "target_ref")
     extra = outside.groupBy(F.col("target").alias("id")).agg(F.min("target_ref").alias("label"))
     extra = extra.select("id", "label", F.lit("external").alias("kind"), F.col("label").alias("qualname"), F.lit("").alias("source_file"), F.lit("external").alias("language"))

@@ -55,8 +55,8 @@ def _occurrences(line: Column, phrase: list[str]) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit("")))) / len(needle)
 
 
-def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, stem: bool = False) -> DataFrame:
-    """``(key, bm25)`` of all documents that match any query term, by one scan.
+def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, stem: bool = False, keep: tuple = ()) -> DataFrame:
+    """``(key, bm25)`` of all documents that match any query term, by one scan; ``keep`` names columns that come along.
 
     Term statistics are those of the whole table: the pass that finds and writes
     the matching documents' counts observes document frequencies and lengths on
@@ -66,12 +66,13 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *
     """
     wanted = phrases(query, stem)
     if not wanted:
-        return docs.select(key, F.lit(0.0).alias("bm25")).where("false")
-    parsed = docs.select(key, *(tokens(F.col(f), stem).alias(f) for f in fields))
+        return docs.select(key, *keep, F.lit(0.0).alias("bm25")).where("false")
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    parsed = docs.select(key, *kept, *(tokens(F.col(f), stem).alias(f) for f in fields))
     size = sum(F.size(f) for f in fields)
-    lined = parsed.select(key, size.alias("d"), *(F.concat_ws("", F.transform(f, lambda t: F.concat(F.lit(" "), t, F.lit(" ")))).alias(f) for f in fields))
+    lined = parsed.select(key, *(f"keep_{c}" for c in keep), size.alias("d"), *(F.concat_ws("", F.transform(f, lambda t: F.concat(F.lit(" "), t, F.lit(" ")))).alias(f) for f in fields))
     names = [f"f{i}" for i in range(len(wanted))]
-    hits = lined.select(key, "d", *(sum(_occurrences(F.col(f), p) * w for f, w in fields.items()).alias(n) for n, p in zip(names, wanted)))
+    hits = lined.select(key, *(f"keep_{c}" for c in keep), "d", *(sum(_occurrences(F.col(f), p) * w for f, w in fields.items()).alias(n) for n, p in zip(names, wanted)))
     seen = Observation()
     hits = hits.dropDuplicates([key]).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("d"), F.lit(0)).alias("size"), *(F.count(F.when(F.col(n) > 0, 1)).alias("n_" + n) for n in names))
     found = stage(hits.where(" or ".join(f"{n} > 0" for n in names)), "hits")
@@ -81,7 +82,7 @@ def bm25_scan(docs: DataFrame, key: str, fields: dict[str, float], query: str, *
     for n in names:
         idf = max(math.log((n_docs - stats["n_" + n] + 0.5) / (stats["n_" + n] + 0.5)), LEAST_IDF)
         total = total + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("d") / max(avgdl, 1e-9)))
-    return found.select(key, total.alias("bm25"))
+    return found.select(key, *(F.col(f"keep_{c}").alias(c) for c in keep), total.alias("bm25"))
 
 
 def search(units: DataFrame, query: str, *, limit: int = 30, stem: bool = True) -> DataFrame:
@@ -90,23 +91,26 @@ def search(units: DataFrame, query: str, *, limit: int = 30, stem: bool = True)
     ``score`` is relative to the best; ties by path, line and id.  Corpus
     statistics include modules.  Repeated rows of one id count once.
     """
-    hits = bm25_scan(units, "unit_id", UNIT_FIELDS, query, stem=stem)
+    hits = bm25_scan(units, "unit_id", UNIT_FIELDS, query, stem=stem, keep=("path", "start_line", "node_type"))
     terms = query_terms_of(query)
-    rows = units.where("node_type <> 'module'").select("unit_id", "path", "start_line", "qualname", "signature", "docstring", "content").join(hits, "unit_id")
+    top = hits.where("node_type <> 'module'").select("unit_id", "path", "start_line", "bm25").orderBy(F.desc(F.round("bm25", 9)), "path", "start_line", "unit_id").limit(limit)
+    top = stage(top, "top")  # at most limit rows: texts are fetched for these only
     text = F.lower(F.concat_ws(" ", "path", "qualname", "signature", "docstring", "content"))
     matched = F.filter(F.array(*(F.when(text.contains(t), F.lit(t)) for t in terms)) if terms else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    rows = rows.select("unit_id", "path", "start_line", "bm25", matched.alias("matched_terms")).dropDuplicates(["unit_id"])
-    top = rows.orderBy(F.desc(F.round("bm25", 9)), "path", "start_line", "unit_id").limit(limit)
-    return top.withColumn("score", F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(0))))  # at most limit rows
+    said = units.join(F.broadcast(top.select("unit_id")), "unit_id", "left_semi").select("unit_id", matched.alias("matched_terms")).dropDuplicates(["unit_id"])
+    best = Window.partitionBy(F.lit(0))  # at most limit rows
+    return top.join(said, "unit_id").withColumn("score", F.col("bm25") / F.max("bm25").over(best)).orderBy(F.desc(F.round("bm25", 9)), "path", "start_line", "unit_id")
 
 
 def build_postings(docs: DataFrame, key: str, fields: dict[str, float], *, stem: bool = False) -> DataFrame:
-    """``(term, doc, field, pos)``: an inverted index with positions, to be written partitioned by term."""
-    parts = [docs.select(F.col(key).alias("doc"), F.lit(f).alias("field"), F.posexplode(tokens(F.col(f), stem)).alias("pos", "term")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("term", "doc", "field", "pos")
+    """``(term, doc, field, pos)``: an inverted index with positions, written in ranges of terms.
+
+    Documents are tokenised once.  The table is sorted by term, so a later
+    look-up of a term reads only the row groups whose range has it.
+    """
+    each = [F.struct(F.lit(f).alias("field"), tokens(F.col(f), stem).alias("words")) for f in fields]
+    rows = docs.select(F.col(key).alias("doc"), F.explode(F.array(*each)).alias("f")).select("doc", "f.field", F.posexplode("f.words").alias("pos", "term"))
+    return stage(rows.select("term", "doc", "field", "pos").repartitionByRange("term").sortWithinPartitions("term", "doc"), "postings")
 
 
 def bm25_postings(postings: DataFrame, fields: dict[str, float], query: str, *, stem: bool = False, docs: DataFrame | None = None) -> DataFrame:

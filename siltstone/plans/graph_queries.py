@@ -33,11 +33,17 @@ def call_hints(units):
     return names.select(F.col("unit_id").alias("source_id"), F.lit("calls").alias("edge_type"), "target", F.lit(0.65).alias("confidence"), F.lit(0).cast("long").alias("seq"))
 
 
+_built: dict = {}
+
+
 def _graph(spark, folder):
-    """Nodes and edges, written once for the plans that read them again and again."""
-    units = table(spark, folder, "units")
-    nodes, edges = B.build(units, call_hints(units), "corpus")
-    return stage(nodes, "nodes"), stage(edges, "edges")
+    """Nodes and edges, built and written once per session and folder for all plans that read them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _built:
+        units = table(spark, folder, "units")
+        nodes, edges = B.build(units, call_hints(units), "corpus")
+        _built[key] = stage(nodes, "nodes"), stage(edges, "edges")
+    return _built[key]
 
 
 def containment_edges(spark, folder):
@@ -76,14 +82,14 @@ def degree_topk(spark, folder):
 
 def explain_hub(spark, folder):
     nodes, edges = _graph(spark, folder)
-    return G.explain(edges, nodes, "repository:.", 1000).select("other_id", "other", "direction", "edge_type")
+    return G.explain(edges, nodes, "repository:.").select("other_id", "other", "direction", "edge_type")
 
 
 def bounded_bfs(spark, folder):
     """Everything within two steps of every repository directory, both ways."""
     nodes, edges = _graph(spark, folder)
     starts = nodes.where("node_type = 'directory' and path not like '%/%'").select(F.col("node_id").alias("start"))
-    return G.neighbors(edges, starts, nodes=nodes, max_depth=2, limit=1_000_000).select("start", "node_id", "distance")
+    return G.within(edges, starts, 2).select("start", "node_id", F.col("distance").cast("int").alias("distance"))
 
 
 def bounded_bfs_limited(spark, folder):
@@ -116,7 +122,7 @@ def inner_edges(spark, folder):
 
 def circular_layout(spark, folder):
     nodes, edges = _graph(spark, folder)
-    return G.layout(nodes, edges, most=200).select("node_id", "degree", F.col("place").cast("int").alias("place"), "x", "y", "labelled")
+    return G.layout(nodes, edges).select("node_id", "degree", F.col("place").cast("int").alias("place"), "x", "y", "labelled")
 
 
 def history_graph(spark, folder):
@@ -125,24 +131,19 @@ def history_graph(spark, folder):
     return history.history_edges(touched, units).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _calls_graph(spark, folder):
-    nodes, edges = _graph(spark, folder)
-    return nodes, edges.where("edge_type = 'calls'")
-
-
 def communities(spark, folder):
-    nodes, edges = _calls_graph(spark, folder)
+    nodes, edges = _graph(spark, folder)
     member = C.communities(nodes, edges, weight="confidence")
     return member.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("smallest"))
 
 
 def connected_components(spark, folder):
-    _, edges = _calls_graph(spark, folder)
+    _, edges = _graph(spark, folder)
     return C.components(C.undirected(edges, "confidence"))
 
 
 def undirected_weights(spark, folder):
-    _, edges = _calls_graph(spark, folder)
+    _, edges = _graph(spark, folder)
     return C.undirected(edges, "confidence").select("a", "b", F.round("weight", 6).alias("weight"))
 
 
@@ -227,7 +228,7 @@ ORACLES = {
     "callers": f"""WITH {_GRAPH}, c AS (SELECT target_id FROM edges WHERE edge_type = 'calls' GROUP BY target_id ORDER BY count(*) DESC, target_id LIMIT 1)
 SELECT node_id, label, round(confidence, 6) AS confidence FROM edges JOIN c USING (target_id) JOIN nodes ON node_id = source_id WHERE edge_type = 'calls'""",
     "degree_topk": f"WITH {_GRAPH} SELECT node_id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (node_id) ORDER BY degree DESC, node_id LIMIT 20",
-    "explain_hub": f"WITH {_GRAPH} SELECT target_id AS other_id, label AS other, 'outgoing' AS direction, edge_type FROM edges JOIN nodes ON node_id = target_id WHERE source_id = 'repository:.' LIMIT 1000",
+    "explain_hub": f"WITH {_GRAPH} SELECT target_id AS other_id, label AS other, 'outgoing' AS direction, edge_type FROM edges JOIN nodes ON node_id = target_id WHERE source_id = 'repository:.' ORDER BY confidence DESC, edge_type, other LIMIT 30",
     "bounded_bfs": f"""WITH {_GRAPH}, s AS (SELECT node_id AS start FROM nodes WHERE node_type = 'directory' AND NOT contains(path, '/')),
   one AS (SELECT DISTINCT start, b AS node_id FROM s JOIN ways ON a = start WHERE b <> start), two AS (SELECT DISTINCT start, b AS node_id FROM one JOIN ways ON a = node_id WHERE b <> start)
 SELECT start, node_id, CAST(1 AS INTEGER) AS distance FROM one UNION ALL SELECT start, node_id, CAST(2 AS INTEGER) FROM (SELECT * FROM two EXCEPT SELECT * FROM one)""",
@@ -235,17 +236,18 @@ SELECT start, node_id, CAST(1 AS INTEGER) AS distance FROM one UNION ALL SELECT
 SELECT node_id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node_id""",
     "case_ordered_graph": f"WITH {_GRAPH} SELECT node_id, node_type, label FROM nodes ORDER BY CASE node_type WHEN 'repository' THEN 0 WHEN 'directory' THEN 1 WHEN 'file' THEN 2 WHEN 'module' THEN 3 ELSE 4 END, label, node_id LIMIT 180",
     "inner_edges": f"WITH {_GRAPH}, d AS (SELECT node_id FROM nodes WHERE node_type IN ('directory', 'repository')) SELECT source_id, target_id, edge_type FROM edges WHERE source_id IN (SELECT node_id FROM d) AND target_id IN (SELECT node_id FROM d)",
-    "circular_layout": f"""WITH {_GRAPH}, t AS (SELECT node_id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (node_id) ORDER BY degree DESC, node_id LIMIT 200),
+    "circular_layout": f"""WITH {_GRAPH}, t AS (SELECT node_id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (node_id) ORDER BY degree DESC, node_id LIMIT 700),
   p AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node_id) - 1 AS place, count(*) OVER () AS n FROM t)
 SELECT node_id, degree, CAST(place AS INTEGER) AS place, round_even(500 + 400 * cos(2 * pi() * place / n), 2) AS x, round_even(500 + 400 * sin(2 * pi() * place / n), 2) AS y, degree >= (SELECT degree FROM p WHERE place = n // 12) AS labelled FROM p""",
     "history_graph": f"""WITH {_ONE}, cf AS (SELECT DISTINCT commit_hash, path FROM (SELECT commit_hash, unnest(changed_files) AS path FROM commit_evidence) WHERE commit_hash IS NOT NULL AND coalesce(path, '') <> ''),
   f AS (SELECT DISTINCT path FROM u WHERE node_type = 'file'), g AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY commit_hash) AS k FROM cf) WHERE k BETWEEN 2 AND 50),
   p AS (SELECT DISTINCT a.path AS x, b.path AS y FROM g a JOIN g b ON a.commit_hash = b.commit_hash AND a.path < b.path)
 SELECT 'changed_in' AS edge_type, count(*) AS n FROM cf WHERE path IN (SELECT path FROM f) UNION ALL SELECT 'co_changed_with', count(*) FROM p WHERE x IN (SELECT path FROM f) AND y IN (SELECT path FROM f)""",
-    "undirected_weights": f"WITH {_GRAPH} SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, round(sum(confidence), 6) AS weight FROM edges WHERE edge_type = 'calls' GROUP BY 1, 2",
-    "connected_components": f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT source_id AS a, target_id AS b FROM edges WHERE edge_type = 'calls' UNION SELECT target_id, source_id FROM edges WHERE edge_type = 'calls'),
-  r AS (SELECT a AS node_id, a AS seen FROM w UNION SELECT r.node_id, w.b FROM r JOIN w ON w.a = r.seen)
-SELECT node_id, min(seen) AS component FROM r GROUP BY node_id""",
+    "undirected_weights": f"WITH {_GRAPH} SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, round(sum(confidence), 6) AS weight FROM edges WHERE source_id <> target_id GROUP BY 1, 2",
+    "connected_components": f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT source_id AS a, target_id AS b FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id),
+  r AS (SELECT 'repository:.' AS node_id UNION SELECT w.b FROM r JOIN w ON w.a = r.node_id),
+  o AS (SELECT a AS node_id, a AS seen FROM w WHERE a NOT IN (SELECT node_id FROM r) UNION SELECT o.node_id, w.b FROM o JOIN w ON w.a = o.seen)
+SELECT node_id, (SELECT min(node_id) FROM r) AS component FROM r WHERE node_id IN (SELECT a FROM w) UNION ALL SELECT node_id, min(seen) FROM o GROUP BY node_id""",
     "find_unit": f"WITH {_ONE} SELECT unit_id, qualname FROM u WHERE qualname = (SELECT min(qualname) FROM u) ORDER BY path, start_line, unit_id LIMIT 1",
     "scan_units": "SELECT unit_id, path, start_line FROM units WHERE node_type IN ('class', 'test')",
 }

@@ -46,9 +46,29 @@ class Store:
         return rows.parquet(f"{self.folder}/{name}/{v}")
 
     def write(self, name: str, rows: DataFrame, partition_by=()) -> DataFrame:
-        v = uuid.uuid4().hex
+        v, before = uuid.uuid4().hex, self.version(name)
         target = f"{self.folder}/{name}/{v}"
         rows.write.partitionBy(*partition_by).parquet(target)
-        pointer = self.spark.createDataFrame([(v,)], "value string").coalesce(1)
-        pointer.write.mode("overwrite").text(self._pointer(name))
+        self._move_pointer(name, v)
+        self._forget(name, {v, before})
         return self.spark.read.schema(rows.schema).parquet(target)
+
+    def _move_pointer(self, name: str, version: str) -> None:
+        """Write the pointer aside and rename it over the old one, which is one step of the file system."""
+        sc = self.spark.sparkContext
+        aside, fs = self._fs(f"{self._pointer(name)}.{version}")
+        out = fs.create(aside, True)
+        out.write(bytearray(version, "ascii"))
+        out.close()
+        rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        options = sc._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        target = fs.makeQualified(self._fs(self._pointer(name))[0])
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), target, options)
+
+    def _forget(self, name: str, kept: set) -> None:
+        """Delete all versions but the current one and the one before, which readers may still hold."""
+        where, fs = self._fs(f"{self.folder}/{name}")
+        for status in fs.listStatus(where):
+            if status.isDirectory() and status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Directories never read, and the size limit.
@@ -72,53 +71,59 @@ class IgnoreRules:
         return out
 
 
-def ignore_rules(root: str, excludes=DEFAULT_EXCLUDES, extra_file: str = ".siltstoneignore") -> IgnoreRules:
-    """Default directories, then the root's ``.gitignore``, then the tool's own ignore file."""
-    lines = list(excludes)
-    for name in (".gitignore", extra_file):
-        p = Path(root, name)
-        if p.is_file():
-            lines += p.read_text("utf-8", "replace").splitlines()
-    return IgnoreRules(lines)
+def ignore_rules(lines=(), excludes=DEFAULT_EXCLUDES) -> IgnoreRules:
+    """Default directories, then the lines of the ignore files."""
+    return IgnoreRules([*excludes, *lines])
 
 
 def discover(spark: SparkSession, root: str, *, extensions=PYTHON, excludes=DEFAULT_EXCLUDES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``(path, content, size_bytes, mtime_ns, content_hash)`` of the source files below a folder, by path.
+    """``(path, content, size_bytes, mtime_ns, content_hash)`` of the source files below a folder.
 
-    A distributed binary scan: extension and size are filtered before contents
-    are read; ignore rules run once per path in an Arrow UDF.  Links are left
-    out where the file system is local.  The hash is that of the bytes; the
-    text is UTF-8 with replacement characters.
+    A distributed binary scan of any Hadoop file system: extension and size are
+    filtered before contents are read; ignore rules run once per path in an
+    Arrow UDF.  Links are left out where the file system is local.  The hash is
+    that of the bytes; the text is UTF-8 with replacement characters.  The scan
+    gives no rows for empty files; those are what its listing has beyond them.
     """
-    if not os.path.isdir(root):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(conf)
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         raise NotADirectoryError(root)
-    base = os.path.realpath(root)
-    rules = ignore_rules(base, excludes)
+    local = fs.getScheme() == "file"
+    base = os.path.realpath(root) if local else fs.makeQualified(where).toString().rstrip("/")
+    rules = ignore_rules(_ignore_lines(spark, fs, base), excludes)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    relative = F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), r"^file:/+", "/")), "^" + re.escape(base) + "/", "")
-    rows = raw.where(suffix.isin(*extensions) & (F.col("length") <= most_bytes)).withColumn("relative", relative)
+
+    def relative(path):
+        plain = F.regexp_replace(path, r"^file:/+", "/") if local else path
+        return F.regexp_replace(F.url_decode(F.regexp_replace(plain, r"\+", "%2B")), "^" + re.escape(base) + "/", "")
 
     @F.pandas_udf("boolean")
     def wanted(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: not rules.ignored(p) and not os.path.islink(os.path.join(base, p)))
+        return paths.map(lambda p: not rules.ignored(p) and not (local and os.path.islink(os.path.join(base, p))))
 
-    rows = rows.where(wanted("relative"))
+    rows = raw.where(suffix.isin(*extensions) & (F.col("length") <= most_bytes)).withColumn("relative", relative(F.col("path"))).where(wanted("relative"))
     full = rows.select(F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes"),
                        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("content_hash"))
-    # the scan passes over empty files, so these few come from a listing
-    empty = []
-    for folder, inner, names in os.walk(base):
-        inner[:] = [d for d in inner if not rules.ignored(os.path.relpath(os.path.join(folder, d), base) + "/")]
-        for name in names:
-            at = os.path.join(folder, name)
-            path = os.path.relpath(at, base)
-            if os.path.splitext(name)[1].lower() in extensions and not os.path.islink(at) and os.path.getsize(at) == 0 and not rules.ignored(path):
-                empty.append((path, "", 0, os.stat(at).st_mtime_ns // 1000 * 1000))
-    if empty:
-        none = spark.createDataFrame(empty, "path string, content string, size_bytes long, mtime_ns long")
-        full = full.unionByName(none.withColumn("content_hash", F.sha2(F.lit(""), 256)))
-    return full.orderBy("path")
+    listed = [p for p in raw.inputFiles() if os.path.splitext(p)[1].lower() in extensions]  # the scan's own listing
+    if not listed:
+        return full
+    rest = spark.createDataFrame([(p,) for p in listed], "at string").withColumn("path", relative(F.col("at"))).where(wanted("path"))
+    rest = rest.join(raw.select(relative(F.col("path")).alias("path")), "path", "left_anti").select("path")
+    empty = rest.select("path", F.lit("").alias("content"), F.lit(0).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ns"), F.sha2(F.lit(""), 256).alias("content_hash"))
+    return full.unionByName(empty)
+
+
+def _ignore_lines(spark: SparkSession, fs, base: str, names=(".gitignore", ".siltstoneignore")) -> list[str]:
+    """Lines of the ignore files at the root: the common one, then the tool's own."""
+    out = []
+    for name in names:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if fs.exists(at):
+            out += [r.value for r in spark.read.text(f"{base}/{name}").collect()]
+    return out
 
 
 def discover_all(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -148,9 +153,18 @@ def find_unit(units: DataFrame, identifier: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).orderBy("tier", "path", "start_line", "unit_id").limit(1).drop("tier")
 
 
+#: Links of a node in one row of the adjacency table.
+MOST_LINKS = 10_000
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``(node_id, direction, links)``: each node's edges as one array, most confident first, to be cached by the caller."""
+    """``(node_id, direction, part, links)``: each node's edges as arrays, most confident first.
+
+    A row has at most :data:`MOST_LINKS` links; a hub has several parts, in order.
+    """
     from siltstone.operators.graph import both_ways
 
-    rows = both_ways(edges).groupBy(F.col("at").alias("node_id"), "direction")
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "to", "edge_type", "confidence"))), lambda x: F.struct(x["to"].alias("other_id"), x["edge_type"].alias("edge_type"), x["confidence"].alias("confidence"))).alias("links"))
+    place = F.row_number().over(Window.partitionBy("at", "direction").orderBy(F.desc("confidence"), "to", "edge_type")) - 1
+    rows = both_ways(edges).withColumn("place", place).groupBy(F.col("at").alias("node_id"), "direction", F.floor(F.col("place") / MOST_LINKS).cast("int").alias("part"))
+    links = F.sort_array(F.collect_list(F.struct("place", "to", "edge_type", "confidence")))
+    return rows.agg(F.transform(links, lambda x: F.struct(x["to"].alias("other_id"), x["edge_type"].alias("edge_type"), x["confidence"].alias("confidence"))).alias("links"))
