@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
+import json
+import os
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules as R
 
-#: Documents on which the rule list is induced (the smallest hashes of doc_id); all are classified.
-SAMPLE = 3000
-
 #: Common words of English, German, Spanish and French.
 COMMON = {
     "en": "the a an of to in on for and or but is are was were be been it its this that these those with by from as at not no so if when then than we you they our your their has have had do does did will would can could may must there here what which who how why where because after before until into about over under only very more most just also",
@@ -109,48 +107,31 @@ def features(rows: DataFrame) -> DataFrame:
     return counted.drop("words_").select("*", *(F.expr(f"round({e}, 6)").alias(k) for k, e in FEATURES.items()))
 
 
-# -- labels of the training rows ----------------------------------------------
+# -- the learned rules ---------------------------------------------------------
+
+#: Paragraphs read and labelled by hand (running sentences or not), with the doc_id they come from.
+LABELLED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labelled.jsonl")
 
-_KNOWN = frozenset(_COMMON)
-_STATEMENT = re.compile(
-    r"^\s*(?:(?:def|class|func|fn|pub|impl|import|from|return|let|var|const|if|else|elif|for|while|try|except|with|use|package|function|export|raise|:param)\b|@|//|/\*|\}|\)|\]|\"\"\")"
-    r"|[;{}=]\s*$|\w\(.*\)[;:]?\s*$|^\s*\w[\w.\[\]]* [-+*/]?= \S"
-)
-_ENDED = re.compile(r"\s\w+[.!?…][\"')*`]*\s*$")
 
+def labelled(spark: SparkSession, path: str = LABELLED) -> DataFrame:
+    """``(doc_id, block, sentences)`` of a file of labelled paragraphs, a JSON object per line."""
+    with open(path, encoding="utf-8") as f:
+        rows = [json.loads(line) for line in f]
+    return spark.createDataFrame([(r["doc_id"], r["block"], r["sentences"]) for r in rows], "doc_id long, block string, sentences boolean")
 
-def runs_in_sentences(block: str) -> bool:
-    """Labels a training block: whether it is running sentences.
 
-    Read sentence by sentence, more slowly than the features allow: at least
-    six words; common words of at least two letters, of three kinds and in a share
-    usual for sentences; few statements of code, no columns, mostly letters.
+def learn(labels: DataFrame, seeds=range(11, 20)) -> list[R.Rule]:
+    """Rule list induced on labelled paragraphs ``(block, sentences)``, some hundreds of rows.
+
+    Longer paragraphs weigh more, as they do in a document's share.  Which rows
+    grow a rule and which prune it is drawn anew for each seed; the list that fits the labels best holds.
     """
-    lines = [x for x in block.split("\n") if x.strip()]
-    words = re.findall(r"[^\W\d_]+", block.lower())
-    chars = len(re.sub(r"\s+", "", block))
-    if len(words) < 6 or not chars:
-        return False
-    common = [w for w in words if w in _KNOWN and len(w) > 1]
-    letters = sum(map(len, words)) / chars
-    statements = sum(bool(_STATEMENT.search(x)) and not _ENDED.search(x) for x in lines)
-    columns = sum(len(re.findall(r"(?: {2,}|\t| \| |,)[\d.%]+(?=\s|,|$)", x)) > 1 for x in lines)
-    if letters < 0.75 or statements > 0.34 * len(lines) or len(lines) > 2 and columns > 0.5 * len(lines):
-        return False
-    return len(set(common)) >= 2 and len(common) / len(words) >= 0.12
-
-
-def learn(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> list[R.Rule]:
-    """Rule list induced on at most about ``sample`` documents, those of the smallest id hashes."""
-    keyed = documents.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    least = keyed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if least is None:
-        return []
-    rows = features(blocks(keyed.where(F.col("h") <= F.lit(least)))).select("block", "n_chars", *FEATURES).toPandas()
+    rows = features(labels.select("block", "sentences").where("block is not null and sentences is not null")).select("sentences", "n_chars", *FEATURES).toPandas()
     if not len(rows):
         return []
-    label = np.array([runs_in_sentences(b) for b in rows["block"]], bool)
-    return R.induce({k: rows[k].to_numpy(float) for k in FEATURES}, label, np.log1p(rows["n_chars"].to_numpy(float)), seed=seed)
+    table, label, weight = {k: rows[k].to_numpy(float) for k in FEATURES}, rows["sentences"].to_numpy(bool), np.log1p(rows["n_chars"].to_numpy(float))
+    lists = [R.induce(table, label, weight, seed=s) for s in seeds]
+    return max(lists, key=lambda x: weight[R.classify(x, table) == label].sum())
 
 
 def prose_share(documents: DataFrame, rule_list: list[R.Rule] | None = None) -> DataFrame:
@@ -158,9 +139,10 @@ def prose_share(documents: DataFrame, rule_list: list[R.Rule] | None = None) ->
 
     Each paragraph is classified by the rule list as one SQL CASE expression;
     texts never leave the JVM, and per document only two sums are shuffled.
-    Null texts are left out; a text without non-blank characters has no row.
+    The rules are learned from the labelled paragraphs of :data:`LABELLED` unless
+    given, so the documents are read once.  Null texts are left out; a text without non-blank characters has no row.
     """
-    rule_list = learn(documents) if rule_list is None else rule_list
+    rule_list = learn(labelled(documents.sparkSession)) if rule_list is None else rule_list
     rows = features(blocks(documents.select("doc_id", "text"))).select("doc_id", "n_chars", F.expr(R.to_case(rule_list)).alias("prose"))
     sums = rows.groupBy("doc_id").agg(F.sum("n_chars").alias("chars"), F.sum(F.expr("n_chars * prose")).alias("prose_chars"))
     return sums.where("chars > 0").withColumn("prose_share", F.round(F.col("prose_chars") / F.col("chars"), 6))
