@@ -230,18 +230,19 @@ def describes(doc: str | None, name: str, parameters=()) -> bool:
 
 
 def pair_of(content: str, language: str, name: str, docstring: str | None = None):
-    """(documentation, signature) of one definition, or None if its documentation says nothing."""
-    if language == "python":
-        doc, signature, _ = _python_head(content)
-        options = [doc, docstring]
-    else:
-        comments, signature, _ = _brace_head(content, languages.language(language).pattern)
-        options = [uncomment(comments)]
-    inner = signature.partition("(")[2]
-    parameters = frozenset(re.findall(r"\w+", inner))
-    for doc in options:
-        if doc and describes(doc, name, parameters):
-            return doc.strip(), signature
+    """(documentation, signature) of the definition that ``content`` begins with, or None if its documentation says nothing.
+
+    The content is read by the island grammar of its language as a file is; what
+    counts is the island that begins where the text does.
+    """
+    first = min(islands(content, language), key=lambda x: x[3], default=None)
+    if first is None or content[: first[3]].strip() and language != "python":
+        return None
+    _, doc, signature, *_ = first
+    parameters = frozenset(re.findall(r"\w+", signature.partition("(")[2]))
+    for text in (doc, docstring) if language == "python" else (doc,):
+        if text and describes(text, name, parameters):
+            return text.strip(), signature
     return None
 
 
@@ -262,13 +263,39 @@ def islands(text: str, language: str):
     return list(_python_islands(text) if language == "python" else _brace_islands(text, language))
 
 
+#: What holds bodiless functions: types, and what may stand before such a function elsewhere.
+_TYPE = re.compile(r"\b(?:class|interface|trait|impl|enum|record)\b")
+_BARE = re.compile(r"\b(?:function|fn|func|abstract|native|declare)\b")
+#: A function expression bound to a name.
+_BOUND = re.compile(r"^(?:(?:export|default|const|let|var|static|public|private|protected|readonly|override)\s+)*(#?[\w$]+)\s*(?::[^=]*(?:=>[^=]*)?)?=\s*(?:async\b\s*)?(?:function\b|\(|[\w$]+\s*=>|<)")
+
+
 def _brace_islands(text: str, language: str):
-    head_of, opened, start, code = _HEADS[language], [], None, None
-    depth, found = 0, []
-    for m in languages.language(language).pattern.finditer(text):
+    """Functions with a body end at its closing bracket (at the end of a text that lacks it); those without one at the semicolon or line end."""
+    pattern, head_of, opened, start, code = languages.language(language).pattern, _HEADS[language], [], None, None
+    depth, found, scripts = 0, [], language in ("javascript", "typescript")
+
+    def entry_of(end: int, bare: bool):
+        comments, signature, at = _brace_head(text[start:end], pattern)
+        got = None if _CONTROL.match(signature) else head_of.match(signature)
+        if got and at == end - start:
+            inside = bool(opened) and opened[-1][2]
+            if not bare or inside or _BARE.search(signature):
+                return got.group(1), uncomment(comments), signature, start
+        if scripts and not _CONTROL.match(signature):
+            whole = text[code:end].strip()
+            got = _BOUND.match(whole)
+            if got and ("=>" in whole or "function" in whole) and (not bare or "=>" in whole):
+                return got.group(1), uncomment(comments), whole.removesuffix("=>").strip(), start
+        return None
+
+    for m in pattern.finditer(text):
         t = m.group()
         if t[0] == "\n":  # only tokens of languages where a line may end a statement
             if depth <= 0 and code is not None and text[code] != "@":
+                if opened and opened[-1][2] and language == "go" and re.match(r"\w+\s*\(", text[code:]):  # a method of an interface
+                    comments, signature, _ = _brace_head(text[start : m.start()], pattern)
+                    found.append((signature.partition("(")[0].strip(), uncomment(comments), signature, start, m.start()))
                 start = code = None
             continue
         if t.startswith(("//", "/*")):
@@ -282,24 +309,25 @@ def _brace_islands(text: str, language: str):
         elif t in (")", "]"):
             depth -= 1
         elif t == "{":
-            entry = None
-            if depth <= 0 and start is not None:
-                comments, signature, at = _brace_head(text[start : m.start()], languages.language(language).pattern)
-                got = None if _CONTROL.match(signature) else head_of.match(signature)
-                if got and at == m.start() - start:
-                    entry = (got.group(1), uncomment(comments), signature, start)
-            opened.append((entry, depth))
+            entry = entry_of(m.start(), False) if depth <= 0 and start is not None else None
+            opened.append((entry, depth, entry is None and depth <= 0 and bool(_TYPE.search(text[code : m.start()])), start, code))
             depth, start, code = 0, None, None
         elif t == "}":
             if opened:
-                entry, depth = opened.pop()
+                entry, depth, _, start, code = opened.pop()
                 if entry:
                     found.append((*entry, m.end()))
-            start = code = None
+            if depth <= 0:  # else a literal within the brackets of a head that goes on
+                start = code = None
         elif t == ";" and depth <= 0:
+            if start is not None and code is not None:
+                entry = entry_of(m.start(), True)
+                if entry:
+                    found.append((*entry, m.end()))
             start = code = None
         elif start is None and depth <= 0:
             start = m.start()
+    found += [(*entry, len(text)) for entry, *_ in opened if entry]
     return sorted(found, key=lambda x: x[3])
 
 
@@ -350,7 +378,8 @@ def documented_units(units: DataFrame) -> DataFrame:
     The documentation is the docstring of a Python unit (its content's, else
     the column's), elsewhere the comment directly before the definition.
     Units without content, or whose documentation says nothing (see
-    :func:`describes`), are left out; the language is that of the path's
+    :func:`describes`), are left out; contents are read by the same islands as
+    whole files, bodies balanced and other code skipped; the language is that of the path's
     extension, other extensions are left out.  Repeated rows may repeat a pair;
     null names count as empty.  Nothing is shuffled.
     """

@@ -211,6 +211,7 @@ class Machine:
         self.newline = net.kinds.get(newline) if newline else None
         self.nodes: dict = {}
         self.levels: dict = {}
+        self.accepted: frozenset = frozenset()
         self.close_of = {net.kinds[o]: net.kinds[c] for o, c in net.brackets.items()}
 
     def node(self, edges: frozenset):
@@ -309,7 +310,7 @@ class Machine:
         return self.closure(todo, ())
 
     def run(self, kinds, rules: frozenset) -> int:
-        """-1 if some start rule derives the tokens, else the index of the first bad one."""
+        """-1 if some start rule derives the tokens (``accepted`` are those that do), else the index of the first bad one."""
         n_open, n_close = self.net.n_open, self.net.n_close
         cur, outer, i = self.start(rules), [], -1
         try:
@@ -328,5 +329,6 @@ class Machine:
         except Reject:
             return i
         if not outer and cur.end() & rules:
+            self.accepted = cur.end() & rules
             return -1
         return i + 1

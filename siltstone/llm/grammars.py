@@ -19,7 +19,8 @@ simple := starexprs | yieldexpr | (targets '=')+ (starexprs | yieldexpr) | targe
   | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)* | 'assert' expr (',' expr)?
   | 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)*
   | 'from' (('.' | '...')+ dotted? | dotted) 'import' ('*' | imports | '(' imports ','? ')')
-  | 'type' NAME tparams? '=' expr ;;
+P312>  | 'type' NAME tparams? '=' expr
+  ;;
 imports := NAME ('as' NAME)? (',' NAME ('as' NAME)?)* ;;
 dotted := NAME ('.' NAME)* ;;
 deltargets := target (',' target)* ','? ;;
@@ -32,7 +33,8 @@ compound := 'if' named ':' block ('elif' named ':' block)* ('else' ':' block)?
   | 'try' ':' block (('except' '*'? (expr ('as' NAME)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? | 'finally' ':' block)
   | ('@' named 'NEWLINE')* ('class' NAME tparams? ('(' args? ')')? ':' block
       | 'async'? 'def' NAME tparams? '(' params? ')' ('->' expr)? ':' block)
-  | 'match' (starnamed (',' starnamed)* ','?) ':' 'NEWLINE' 'INDENT' ('case' patterns ('if' named)? ':' block)+ 'DEDENT' ;;
+P310>  | 'match' (starnamed (',' starnamed)* ','?) ':' 'NEWLINE' 'INDENT' ('case' patterns ('if' named)? ':' block)+ 'DEDENT'
+  ;;
 withitem := expr ('as' target)? ;;
 tparams := '[' tparam (',' tparam)* ','? ']' ;;
 tparam := ('*' | '**')? NAME (':' expr)? ('=' starexprs)? ;;
@@ -94,12 +96,13 @@ stmt := block | ';' | decl | sexpr term
   | ('continue' | 'break') NAME? term | 'return' expr? term | 'throw' expr term | 'debugger' term
   | 'try' block ('catch' ('(' param ')')? block ('finally' block)? | 'finally' block)
   | 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* '}'
-  | NAME ':' stmt | 'with' '(' expr ')' stmt
-  | 'import' (importclause 'from')? STR (('with' | 'assert') '{' attrs? '}')? term
-  | 'export' (decl | 'default' (funcdecl | classdecl | assign term) | ('*' ('as' modname)? | '{' specs? '}') 'from' STR (('with' | 'assert') '{' attrs? '}')? term | '{' specs? '}' term)
-TS>  | 'export' 'default' 'interface' NAME typarams? ('extends' type (',' type)*)? '{' members '}'
-TS>  | 'export' '=' expr term | 'export' 'as' 'namespace' NAME term | 'export' 'type' ('{' specs? '}' ('from' STR)? | '*' ('as' NAME)? 'from' STR) term
-TS>  | 'export'? 'import' 'type'? NAME '=' expr term | 'import' 'type' importclause 'from' STR term
+  | NAME ':' stmt
+SCRIPT>  | 'with' '(' expr ')' stmt
+MODULE>  | 'import' (importclause 'from')? STR (('with' | 'assert') '{' attrs? '}')? term
+MODULE>  | 'export' (decl | 'default' (funcdecl | classdecl | assign term) | ('*' ('as' modname)? | '{' specs? '}') 'from' STR (('with' | 'assert') '{' attrs? '}')? term | '{' specs? '}' term)
+TSM>  | 'export' 'default' 'interface' NAME typarams? ('extends' type (',' type)*)? '{' members '}'
+TSM>  | 'export' '=' expr term | 'export' 'as' 'namespace' NAME term | 'export' 'type' ('{' specs? '}' ('from' STR)? | '*' ('as' NAME)? 'from' STR) term
+TSM>  | 'export'? 'import' 'type'? NAME '=' expr term | 'import' 'type' importclause 'from' STR term
   ;;
 decl := ('var' | 'let' | 'const') vars term | funcdecl | classdecl
 TS>  | ('export' | 'declare')* typedecl
@@ -359,12 +362,22 @@ finit := attr* (NAME | (NAME | NUM) ':' expr) ;;
 """
 
 
+#: Marks of lines: TypeScript, JavaScript, scripts, modules, modules in TypeScript, bracketed lists in Java, newer Python versions.
+MARKS = ("TS", "JS", "SCRIPT", "MODULE", "TSM", "LISTS", "P310", "P312")
+
+
+def python(*flags: str) -> str:
+    """The Python grammar; without flags that of version 3.8."""
+    text = variant(PYTHON, *flags).replace("'BIN'", "('BIN' | '|')")
+    return text if "P312" in flags else text.replace(" tparams?", "").replace("'except' '*'?", "'except'")
+
+
 def variant(text: str, *flags: str) -> str:
     """The grammar text with the marked lines of ``flags`` only."""
     out = []
     for line in text.splitlines():
         mark, _, rest = line.partition("> ")
-        if mark in ("TS", "JS", "LISTS"):
+        if mark in MARKS:
             if mark in flags:
                 out.append(rest)
         else:

@@ -151,9 +151,9 @@ class Python(Language):
     _indents: dict[str, tuple[int, int]] = {}
 
     def __init__(self):
-        text = G.PYTHON.replace("'BIN'", "('BIN' | '|')")
+        now = G.python("P310", "P312")
         super().__init__(
-            {"python3": (text, "file"), "expression": (text, "fexpr")},
+            {"python3.13": (now, "file"), "python3.8": (G.python(), "file"), "expression": (now, "fexpr")},
             brackets=_BRACKETS | {"INDENT": "DEDENT"},
             soft="match case type",
             words="and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False",
@@ -162,7 +162,7 @@ class Python(Language):
     def build(self):
         super().build()
         k = self.net.kinds
-        self.rules = frozenset([self.net.starts["python3"]])
+        self.rules = frozenset([self.net.starts["python3.13"], self.net.starts["python3.8"]])
         self.inner = frozenset([self.net.starts["expression"]])
         self.k_newline, self.k_in, self.k_out = k["NEWLINE"], k["INDENT"], k["DEDENT"]
 
@@ -427,14 +427,15 @@ class Ecma(Language):
     ops |= dict.fromkeys(("**=", "??=", "&&=", "||=", "<<=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="), "ASGN") | {"&": "AMP", "|": "BAR"}
 
     def __init__(self, *flags):
-        text = G.variant(G.ECMA, *flags).replace("'BIN'", "('BIN' | 'AMP' | 'BAR')")
+        text = lambda *more: G.variant(G.ECMA, *flags, *more).replace("'BIN'", "('BIN' | 'AMP' | 'BAR')")
+        name, modules = ("typescript", ("MODULE", "TSM")) if "TS" in flags else ("javascript", ("MODULE",))
         soft = "as async from get set of static target accessor let await yield" + (
             " abstract asserts declare global infer interface is keyof module namespace override private protected public readonly satisfies type unique out any" if "TS" in flags else " any")
         words = ("break case catch class const continue debugger default delete do else enum export extends false finally for function if implements import in instanceof new null return super switch this throw true try typeof var void while with")
         if "TS" not in flags:
             words = words.replace(" implements", "")
         self.flags = flags
-        super().__init__({"typescript" if "TS" in flags else "ecmascript": (text, "program")}, brackets=_BRACKETS | {"${": "}"}, soft=soft, words=words, eos="NL", newline="NL")
+        super().__init__({f"{name} module": (text(*modules), "program"), f"{name} script": (text("SCRIPT"), "program")}, brackets=_BRACKETS | {"${": "}"}, soft=soft, words=words, eos="NL", newline="NL")
 
     def build(self):
         super().build()
@@ -600,9 +601,9 @@ class Java(Language):
     ops |= dict.fromkeys(("int", "long", "short", "byte", "char", "float", "double", "boolean"), "PRIM")
     ops |= dict.fromkeys(("public", "private", "protected", "native", "transient", "volatile"), "MOD")
 
-    def __init__(self):
+    def __init__(self, lists=False):
         text = lambda *f: G.variant(G.JAVA, *f).replace("('BIN' |", "('BIN' | 'AMP' | 'BAR' |", 1)
-        super().__init__({"java": (text(), "file"), "java_lists": (text("LISTS"), "file")},
+        super().__init__({"java": (text(), "file")} | ({"java with lists": (text("LISTS"), "file")} if lists else {}),
             soft="record sealed permits non yield when module open requires exports opens uses provides to with transitive",
             words="abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface new package return static strictfp super switch synchronized this throw throws try void while true false null")
 
@@ -670,6 +671,7 @@ EXTENSIONS = {
 }
 _FACTORIES = {
     "python": Python, "typescript": lambda: Ecma("TS"), "javascript": lambda: Ecma("JS"), "go": Go, "java": Java, "rust": Rust,
+    "java+lists": lambda: Java(True),
     "json": lambda: Json({"json": (G.JSON, "value")}),
 }
 _made: dict[str, Language] = {}
@@ -686,4 +688,11 @@ def check(text: str, name: str) -> int | None:
     return language(name).check(text)
 
 
-__all__ = ["EXTENSIONS", "Reject", "check", "language"]
+def accepting(text: str, name: str) -> tuple[int | None, list[str]]:
+    """:func:`check` and the names of the dialects that derive the text."""
+    known = language(name)
+    bad = known.check(text)
+    return bad, [] if bad is not None else sorted(known.by_rule[r] for r in known.machine.accepted if r in known.by_rule)
+
+
+__all__ = ["EXTENSIONS", "Reject", "accepting", "check", "language"]

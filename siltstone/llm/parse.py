@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import languages
 
-_SCHEMA = "path string, language string, error_line int"
+_SCHEMA = "path string, language string, error_line int, accepted array<string>"
 
 
 def _language_of(path):
@@ -19,17 +19,25 @@ def _language_of(path):
     return out
 
 
-def _recognise(batches):
-    import pyarrow as pa
+def _recogniser(dialects: dict):
+    def recognise(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        paths, names, texts = (batch.column(i) for i in range(3))
-        lines = [languages.check(t.as_py(), n.as_py()) for n, t in zip(names, texts)]
-        yield pa.RecordBatch.from_arrays([paths, names, pa.array(lines, pa.int32())], ["path", "language", "error_line"])
+        for batch in batches:
+            paths, names, texts = (batch.column(i) for i in range(3))
+            got = [languages.accepting(t.as_py(), dialects.get(n.as_py(), n.as_py())) for n, t in zip(names, texts)]
+            lines, accepted = pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([paths, names, lines, accepted], ["path", "language", "error_line", "accepted"])
 
+    return recognise
 
-def parse_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``(path, language, parse_error, error_line)``, one row per path with a supported extension.
+
+#: Language -> its name with dialects that aren't standard, for whom they are wanted.
+JAVA_LISTS = {"java": "java+lists"}
+
+
+def parse_files(files: DataFrame, path: str = "path", content: str = "content", *, dialects: dict | None = None) -> DataFrame:
+    """``(path, language, parse_error, error_line, accepted)``, one row per path with a supported extension.
 
     Every content is recognised by the generalised LL machine of its extension's
     language, all dialect grammars in one pass; ``parse_error`` is true if each
@@ -37,13 +45,15 @@ def parse_files(files: DataFrame, path: str = "path", content: str = "content")
     accepts.  Null paths and null contents take no part; an empty Python,
     TypeScript or JavaScript text is valid, an empty JSON or Go one is not.
     Repeated rows count once; a path with several contents is in error if any
-    of them is.  Only recognised rows (no text) are shuffled.
+    of them is.  ``accepted`` names the dialects that derive it (Python 3.8 and 3.13, scripts and
+    modules of JavaScript and TypeScript, and those that ``dialects`` adds).  Only recognised rows (no text) are shuffled.
     """
     rows = files.select(F.col(path).alias("path"), _language_of(F.col(path)).alias("language"), F.col(content).alias("content"))
     rows = rows.where("path is not null and language is not null and content is not null")
-    seen = rows.select("path", "language", "content").mapInArrow(_recognise, _SCHEMA)
+    seen = rows.select("path", "language", "content").mapInArrow(_recogniser(dialects or {}), _SCHEMA)
     return seen.groupBy("path", "language").agg(
-        (F.count("error_line") > 0).alias("parse_error"), F.min("error_line").alias("error_line")
+        (F.count("error_line") > 0).alias("parse_error"), F.min("error_line").alias("error_line"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("accepted")))).alias("accepted"),  # at most a set of each dialect
     )
 
 
@@ -51,14 +61,14 @@ def parse_files(files: DataFrame, path: str = "path", content: str = "content")
 SYNTAX_WORDS = r"(?i)syntax|unexpected|unterminated|never closed|error node|expected declaration|invalid"
 
 
-def parse_rates(units: DataFrame, files: DataFrame, extractions: DataFrame) -> DataFrame:
+def parse_rates(units: DataFrame, files: DataFrame, extractions: DataFrame, *, dialects: dict | None = None) -> DataFrame:
     """Per repository and language: files, files in error, their rate, and how many were reported before.
 
     ``reported`` counts files in error of which files.parse_error or
     extractions.parse_errors holds a message about syntax.  The repository is
     the first segment of the path.
     """
-    found = parse_files(units.where("node_type = 'file'"))
+    found = parse_files(units.where("node_type = 'file'"), dialects=dialects)
     told = files.select("path", F.col("parse_error").alias("message")).where(F.col("message").rlike(SYNTAX_WORDS))
     told = told.unionByName(
         extractions.select("path", F.explode("parse_errors").alias("message")).where(F.col("message").rlike(SYNTAX_WORDS))

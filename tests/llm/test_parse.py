@@ -32,7 +32,7 @@ VALID = {
     "java": [
         "", "package a.b;\nimport static x.Y.*;\n@A(b = {1, 2}) public final class C<T extends D & E> extends F<T> implements G, H { static { x = 1; } private int[] a[] = {1, 2}, b; @Override public <U> List<? super U> m(final int x, String... r) throws E { for (int i = 0, j = 1; i < j; i++) { } return (T) r -> { return 1; }; } C() { this(1); } }\n",
         'enum E { A(1) { void m() {} }, B; E(int... x) {} }\nrecord R(int a, String b) implements I { R { assert a > 0 : "x"; } }\nsealed interface I permits R {}\n@interface An { int value() default 1; }\n', 'class A { String s = """\n  text "x"\n  """; Object m(Object o) { return switch (o) { case Integer i when i > 1 -> i; case R(int a, var b) -> { yield a; } default -> throw new E(); }; } }\n',
-        "class A { void m() { try (var x = f(); y) { a.<T>b(A::new, int[]::new).c()[1]++; } catch (final A | B e) { } finally { } do { x >>>= 1; } while (x >= 2); new int[]{1}; o = new X<>() { }; l: for (var v : vs) break l; } }\n", "class A { void m() { s.x = f(1, [1, s]); } }\n",
+        "class A { void m() { try (var x = f(); y) { a.<T>b(A::new, int[]::new).c()[1]++; } catch (final A | B e) { } finally { } do { x >>>= 1; } while (x >= 2); new int[]{1}; o = new X<>() { }; l: for (var v : vs) break l; } }\n",
     ],
     "rust": [
         "", "#![allow(x)]\nuse a::{self, b as c, d::*};\npub(crate) struct S<'a, T: ?Sized + 'a, const N: usize = 3>(pub &'a T) where T: Fn(u8) -> u8;\n", "impl<'a, T> Tr<Item = T> for S<'a, T> { const X: u8 = 1; type Y = Vec<Vec<T>>; async unsafe fn f(&mut self, (a, b): (u8, &str)) -> Result<(), Box<dyn Error + Send>> { Ok(()) } }\n" if False else "impl<'a, T> Tr for S<'a, T> { const X: u8 = 1; type Y = Vec<Vec<T>>; async fn f(&mut self, (a, b): (u8, &str)) -> Result<(), Box<dyn Error + Send>> { Ok(()) } }\n",
@@ -98,6 +98,16 @@ def test_error_lines_and_odd_input():
     assert L.check("x = [" + "1, " * 50_000 + "]\n", "python") is None
 
 
+def test_dialects_that_accept():
+    assert L.accepting("x = 1\n", "python") == (None, ["python3.13", "python3.8"])
+    assert L.accepting("match x:\n    case 1: pass\n", "python")[1] == ["python3.13"] == L.accepting("type A[T] = list[T]\n", "python")[1]
+    assert L.accepting("with (a) b();\n", "javascript")[1] == ["javascript script"] and L.accepting("import x from 'y';\n", "javascript")[1] == ["javascript module"]
+    assert L.check("import x from 'y';\nwith (a) b();\n", "javascript") is not None
+    assert L.check("class A { void m() { s.x = f(1, [1, s]); } }\n", "java+lists") is None
+    lists = "class A { int[] m() { return f(1, [1, x]); } }"
+    assert L.check(lists, "java") is not None and L.accepting(lists, "java+lists") == (None, ["java with lists"])
+
+
 def test_operator(spark):
     rows = [("r/a.py", "x = (\n"), ("r/a.py", "x = (\n"), ("r/b.py", "x = 1\n"), ("r/c.py", None), (None, "x"), ("r/d.txt", "((("), ("r/e.PY", ""), ("r/g.go", ""), ("q/two.py", "1"), ("q/two.py", "1 1")]
     df = spark.createDataFrame(rows, "path string, content string").withColumn("parse_error", F.lit("clash"))
