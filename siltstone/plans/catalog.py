@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, hierarchy_queries, retrieval_queries
+from . import graph_queries, hierarchy_queries, operator_queries, retrieval_queries
 
-_MODULES = (retrieval_queries, graph_queries, hierarchy_queries)
+_MODULES = (retrieval_queries, graph_queries, operator_queries, hierarchy_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -19,11 +19,6 @@ from siltstone.plans.stage import stage
 from .tables import table
 
 CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
-LOG = [
-    "aaa1\x1f2024-05-01T10:00:00+02:00\x1fred-fox\x1fMove the loader\n\n1\t2\tsrc/{old => new}/loader.py\n-\t-\tdata/blob.bin\n3\t0\tREADME.md => docs/README.md",
-    "bbb2\x1f2024-05-02T08:30:00Z\x1fblue-owl\x1fAdd a parser\n\n10\t0\tsrc/parser.py\nnot a stat line\n4\t1\tsrc/{util => }/x.py",
-    "broken record without fields",
-]
 
 
 def call_hints(units):
@@ -158,11 +153,6 @@ def resolve_node(spark, folder):
     return spark.createDataFrame([(q, G.resolve(nodes, q)) for q in asked], "query string, node_id string")
 
 
-def parse_log(spark, folder):
-    rows = history.parse_log(spark.createDataFrame([(r,) for r in LOG], "value string"))
-    return rows.select("commit_hash", F.unix_micros("authored_at").alias("authored_us"), F.explode("files").alias("f")).select("commit_hash", "authored_us", "f.path", "f.additions", "f.deletions", "f.status", "f.old_path")
-
-
 def _sources(spark, folder):
     known = F.create_map(*(F.lit(x) for kv in files.LANGUAGES.items() for x in kv))
     rows = table(spark, folder, "units").where("node_type = 'file' and content is not null").select("path", "content").dropDuplicates(["path"])
@@ -197,7 +187,7 @@ def scan_units(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     containment_edges, resolve_cascade, build_graph, test_edges, callers, degree_topk, explain_hub, bounded_bfs, bounded_bfs_limited, hop_distances, shortest_path, case_ordered_graph, inner_edges,
-    circular_layout, history_graph, communities, connected_components, undirected_weights, question_subgraph, resolve_node, parse_log, python_units_read, artifact_graph, find_unit, scan_units,
+    circular_layout, history_graph, communities, connected_components, undirected_weights, question_subgraph, resolve_node, python_units_read, artifact_graph, find_unit, scan_units,
 )}
 
 _ONE = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY path) AS _n FROM units) WHERE _n = 1)"
