@@ -80,7 +80,6 @@ def p9_statistics(spark, folder):
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p3_found, p3_functions, p4_found, p4_neighbors, p6_found, p6_pieces, p7_found, p7_tests, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
-_WORDS = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
 _PAIRS = """
 WITH e AS (SELECT commit_hash AS c, unnest(changed_files) AS f FROM commit_evidence WHERE commit_hash IS NOT NULL),
   n AS (SELECT DISTINCT c, array_to_string(list_filter(string_split(replace(regexp_replace(f, '^\\s+|\\s+$', '', 'g'), chr(92), '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') AS p FROM e),
@@ -101,4 +100,17 @@ WITH t AS (SELECT id, list_transform(regexp_extract_all(task, '[A-Za-z0-9]+'), l
   d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
   dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d))
 SELECT DISTINCT dg.doc_id, g.id AS task_id FROM dg JOIN g ON g.gram = dg.gram""",
+    "p7_tests": """
+WITH t AS (SELECT id, list_transform(regexp_extract_all(task, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_tasks),
+  g AS (SELECT DISTINCT id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+  d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+  dg AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d))
+SELECT g.id AS task_id, count(DISTINCT dg.doc_id) AS documents, count(*) AS passages FROM dg JOIN g ON g.gram = dg.gram GROUP BY g.id""",
+    "p9_statistics": f"""
+WITH a AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w, trim(text, chr(10) || chr(13) || chr(9) || ' ') AS body FROM documents WHERE text IS NOT NULL),
+  b AS (SELECT doc_id, len(w) AS words, length(array_to_string(w, '')) AS letters, len(list_distinct(w)) AS kinds, len(list_filter(w, lambda x: list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in quality._COMMON)}], x))) AS common,
+    length(translate(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288), '')) AS chars, length(text) - length(translate(text, '0123456789', '')) AS digits, length(text) - length(translate(text, '.,;:!?''"()-', '')) AS punct,
+    length(body) - length(replace(body, chr(10), '')) + 1 AS n_lines, len(regexp_extract_all(regexp_replace(body, '\\r\\n?', chr(10), 'g'), '(?m)[.!?…]["''»”)*`]*[ \\t]*$')) AS stops FROM a)
+SELECT doc_id, CAST(words AS INTEGER) AS words, round(letters / greatest(1, words), 6) AS mean_word_length, round((chars - letters - digits - punct) / greatest(1, chars), 6) AS symbol_ratio, round(digits / greatest(1, chars), 6) AS digit_ratio,
+  round(stops / greatest(1, n_lines), 6) AS stop_line_share, round(common / greatest(1, words), 6) AS common_word_share, round(kinds / greatest(1, words), 6) AS distinct_word_share, CAST(n_lines AS INTEGER) AS lines FROM b""",
 }
