@@ -21,6 +21,14 @@ PROVIDER = "local-hash-v1"
 FIRST = {"lexical": 40, "symbol": 25, "semantic": 35}
 SECOND = {"lexical": 20, "symbol": 12, "semantic": 20}
 ANCHORS, COMMITS_SHOWN, HOTSPOTS_SHOWN, SECOND_PASS, LEAST_BUDGET, SLACK = 8, 5, 10, 0.7, 512, 32
+#: Parts of the pipeline that can be left out, and the sources that go with them.
+PARTS = {"semantic": {"semantic"}, "graph": {"call_graph", "imports", "inheritance"}, "history": {"git_history", "hotspots"}, "test_discovery": {"related_tests"},
+         "query_evolution": set(), "routing": set(), "token_optimization": set(), "redundancy_penalty": set()}
+#: Evaluated configurations: lists of retrievers, or the parts that the pipeline leaves out.
+CONFIGURATIONS = {
+    "filename": None, "bm25_symbols": "ls", "semantic": "v", "hybrid": "lsv",
+    "hybrid_graph": ("routing", "history", "test_discovery", "query_evolution"), "hybrid_graph_history": ("routing", "test_discovery", "query_evolution"), "full": (),
+}
 
 
 class Engine:
@@ -121,19 +129,26 @@ class Engine:
         hits = semantic.search(units, self.table("vectors"), text, limit=limit, provider=PROVIDER, dimensions=self.settings.semantic_dimensions)
         return fusion.signals(hits, "semantic", "similarity", reason=F.lit("similar text"), seq=seq)
 
-    def compile(self, task: str, token_budget: int = 8000, *, as_of=None, routing_on: bool = True, redundancy: bool = True, optimise: bool = True) -> dict:
+    def compile(self, task: str, token_budget: int = 8000, *, as_of=None, without=(), history_candidates: bool = False) -> dict:
         """An evidence package whose Markdown never exceeds ``token_budget`` (at least 512).
 
         Route, retrieve anchors, expand the graph and find tests, search once
         more with derived terms, fuse, rerank, select under what the header
         leaves, and drop the weakest items until the text fits.  A header that
         alone exceeds the budget raises.  Only bounded candidate lists reach the driver.
+        ``without`` names parts (:data:`PARTS`) to leave out; without routing all
+        sources take part.  ``history_candidates`` adds the files of the commits found to the candidates.
         """
+        unknown = set(without) - PARTS.keys()
+        if unknown:
+            raise ValueError(f"unknown parts: {', '.join(sorted(unknown))}")
+        redundancy, optimise = "redundancy_penalty" not in without, "token_optimization" not in without
         if token_budget < LEAST_BUDGET:
             raise ValueError(f"a budget has at least {LEAST_BUDGET} tokens")
         units, nodes, edges = self.table("units"), self.table("nodes"), self.table("edges")
         routed = routing.route(self.spark.createDataFrame([(task,)], "task string")).first()
-        chosen = set(routed.selected_sources) if routing_on else {"lexical", "symbol", "semantic", *routing.EXTRA}
+        chosen = {"lexical", "symbol", "semantic", *routing.EXTRA} if "routing" in without else set(routed.selected_sources)
+        chosen -= set().union(*(PARTS[w] for w in without))
         package = {"task": task, "repository": os.path.basename(self.repository), "token_budget": token_budget, "estimated_tokens": 0, "task_type": routed.task_type,
                    "selected_sources": list(routed.selected_sources), "items": [], "commits": [], "hotspots": [], "concepts": [], "decisions": [], "anchors": []}
         if routed.task_type == "none":
@@ -158,7 +173,7 @@ class Engine:
             later.append(routing.expand(strength, edges, nodes, edge_types=("defines", "references", *kinds), max_depth=self.settings.graph_max_depth, max_nodes=self.settings.graph_max_nodes, seq=3000))
         if "related_tests" in chosen:
             later.append(fusion.signals(routing.related_tests(anchors, units, edges, nodes, task), "related_tests", "score", reason=F.lit("likely test"), seq=4000))
-        concepts = routing.evolve(ranked, edges, nodes, task)
+        concepts = [] if "query_evolution" in without else routing.evolve(ranked, edges, nodes, task)
         if concepts:
             text = f"{task} {' '.join(concepts)}"
             second = [self._lexical(units, text, SECOND["lexical"], 5000), self._symbol(units, text, SECOND["symbol"], 6000)]
@@ -169,7 +184,10 @@ class Engine:
             later += [second, fusion.signals(best, "query_evolution", "score", reason=F.lit("found in the second pass"), seq=8000)]
         package["concepts"] = concepts
         if "git_history" in chosen:
-            package["commits"] = [r.asDict(True) for r in self.history(task, anchors=[r.path for r in held], limit=COMMITS_SHOWN, as_of=as_of).collect()]
+            commits = stage(self.history(task, anchors=[r.path for r in held], limit=COMMITS_SHOWN, as_of=as_of), "commits")
+            package["commits"] = [r.asDict(True) for r in commits.collect()]
+            if history_candidates:
+                later.append(history.candidates(commits, units, seq=9000))
         if "hotspots" in chosen:
             touched = self.table("commits").select("commit_hash", F.explode("files.path").alias("path")).distinct()
             package["hotspots"] = [(r.path, r.changes) for r in history.hotspots(touched, self.table("files"), HOTSPOTS_SHOWN).collect()]
@@ -227,32 +245,40 @@ class Engine:
                     f.write(text)
         return {"nodes": nodes, "edges": edges, "communities": member, "extractions": meta}
 
-    def evaluate(self, tasks: DataFrame, *, top_k: int = 10, token_budget: int = 8000, configurations=("filename", "bm25_symbols", "semantic", "hybrid", "full")) -> DataFrame:
-        """Mean metrics per configuration.  ``bm25_symbols`` searches text and symbols; ``full`` is :meth:`compile`."""
+    def evaluate(self, tasks: DataFrame, *, top_k: int = 10, token_budget: int = 8000, configurations=tuple(CONFIGURATIONS), ablations=()) -> DataFrame:
+        """Mean metrics per configuration, and of ``full`` without each of the parts in ``ablations``.
+
+        ``bm25_symbols`` searches text and symbols; the graph and history
+        configurations and ``full`` are :meth:`compile` with parts left out, so an
+        ablation differs in its part alone.  Tasks are a benchmark's list; each is one run of the pipeline.
+        """
+        runs = [(c, "") for c in configurations] + [("full", p) for p in ablations]
         units = self.table("units")
         corpus = units.where("node_type = 'file'").agg(F.sum(token_estimate(F.col("content"))).alias("n")).first().n or 0
         listed = tasks.select(F.col("id").alias("task_id"), "task", "gold_files", "gold_symbols", "gold_line_ranges").cache()
         rows = []
         for t in listed.select("task_id", "task").collect():  # a benchmark's tasks
-            for c in configurations:
-                for rank, i in enumerate(self._retrieve(units, t.task, c, top_k, token_budget), 1):
-                    rows.append((c, t.task_id, rank, *i))
-        schema = "configuration string, task_id string, rank int, file string, symbol string, start_line int, end_line int, estimated_tokens int, sources array<string>"
-        items = self.spark.createDataFrame(rows, schema)
+            for c, p in runs:
+                for rank, i in enumerate(self._retrieve(units, t.task, c, p, top_k, token_budget), 1):
+                    rows.append((c, p, t.task_id, rank, *i))
+        schema = "configuration string, ablation string, task_id string, rank int, file string, symbol string, start_line int, end_line int, estimated_tokens int, sources array<string>"
+        items = stage(self.spark.createDataFrame(rows, schema), "items")
         total = listed.select("task_id", F.lit(corpus).cast("long").alias("repository_source_tokens"))
-        parts = [stage(evaluation.metrics(listed, items.where(F.col("configuration") == c), top_k, total).withColumn("configuration", F.lit(c)), "metrics") for c in configurations]
-        return evaluation.mean_metrics(self._union(parts), "configuration")
+        parts = [evaluation.metrics(listed, items.where((F.col("configuration") == c) & (F.col("ablation") == p)), top_k, total).withColumns({"configuration": F.lit(c), "ablation": F.lit(p)}) for c, p in runs]
+        return evaluation.mean_metrics(self._union([stage(x, "metrics") for x in parts]), "configuration", "ablation")
 
-    def _retrieve(self, units, task, configuration, top_k, budget):
-        if configuration == "full":
-            return [(i["file"], i["symbol"], i["start_line"], i["end_line"], i["estimated_tokens"], i["retrieved_by"]) for i in self.compile(task, budget)["items"]]
+    def _retrieve(self, units, task, configuration, ablation, top_k, budget):
+        use = CONFIGURATIONS[configuration]
+        if isinstance(use, tuple):
+            without = {*use, *([ablation] if ablation else [])}
+            package = self.compile(task, budget, without=without, history_candidates="history" not in without)
+            return [(i["file"], i["symbol"], i["start_line"], i["end_line"], i["estimated_tokens"], i["retrieved_by"]) for i in package["items"]]
         if configuration == "filename":
             one = self.spark.createDataFrame([("t", task)], "task_id string, task string")
             hit = evaluation.filename_baseline(self.table("files"), one).where(F.col("rank") <= top_k).select(F.col("file").alias("path"), "rank")
             got = units.where("node_type = 'file'").join(hit, "path").withColumn("retrieved_by", F.array(F.lit("path"))).withColumn("estimated_tokens", token_estimate(F.col("content")))
             picked = got.orderBy("rank").collect()
         else:
-            use = {"bm25_symbols": "ls", "semantic": "v", "hybrid": "lsv"}[configuration]
             parts = [f(units, task, FIRST[n], q) for c, n, f, q in (("l", "lexical", self._lexical, 0), ("s", "symbol", self._symbol, 1000), ("v", "semantic", self._semantic, 2000)) if c in use]
             ranked = fusion.rerank(fusion.merge(self._union(parts)), units, task).withColumn("g", F.lit(1))
             picked = selection.first_fit(ranked.select("g", "rank", "path", "qualname", "start_line", "end_line", "estimated_tokens", "retrieved_by"), budget, group="g", order=["rank"], cost="estimated_tokens").orderBy("rank").collect()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import query_terms, query_terms_of, recency
+from siltstone.operators.fusion import signals
 from siltstone.operators.lexical import COMMIT_FIELDS, bm25_scan
 
 #: Parts of the score, and the gate.
@@ -150,3 +151,14 @@ def search(commits: DataFrame, current: DataFrame, task: str, as_of, *, anchors=
     strong = (F.size("message_overlap") > 0) | ((F.col("semantic_s") >= STRONG_SEMANTIC) & (F.size("anchor_overlap") > 0))
     out = rows.where((F.col("score") >= least) & strong).select("commit_hash", "message", "authored_at", "lexical", F.col("semantic_s").alias("semantic"), "anchor", "score", "message_overlap", "anchor_overlap", "existing", F.col("files").alias("changed_files"))
     return out if limit is None else out.orderBy(F.desc(F.round("score", 9)), F.desc("authored_at"), "commit_hash").limit(limit)
+
+
+def candidates(commits: DataFrame, units: DataFrame, seq: int = 0) -> DataFrame:
+    """Signals of the file units that found commits (``commit_hash, score, changed_files``) changed: the commit's score is the file's.
+
+    ``commits`` is the bounded result of a search; the newest of equal ones isn't told apart.
+    """
+    touched = commits.select("commit_hash", "score", F.explode("changed_files").alias("path"))
+    files = units.where("node_type = 'file'").select("path", "unit_id").dropDuplicates(["path"])
+    hit = files.join(touched, "path")
+    return signals(hit, "git_history", "score", reason=F.concat(F.lit("changed in commit "), F.substring("commit_hash", 1, 10)), seq=seq)

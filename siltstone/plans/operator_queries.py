@@ -63,6 +63,14 @@ def history_top(spark, folder):
     return rows.select("commit_hash", F.round("score", 6).alias("score"))
 
 
+def history_signals(spark, folder):
+    """File units as candidates: those that the best commits of a task changed."""
+    units, commits = table(spark, folder, "units"), table(spark, folder, "commit_evidence")
+    found = history.search(commits, table(spark, folder, "files"), RQ.HISTORY_TASK, RQ.AS_OF, limit=8)
+    rows = fusion.merge(history.candidates(found, units))
+    return rows.select("unit_id", F.round(F.col("source_scores")["git_history"], 6).alias("score"), F.size("reasons").alias("commits"))
+
+
 # -- references, signatures, costs ---------------------------------------------
 
 
@@ -215,7 +223,7 @@ def vector_search_joined(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_files, scoped_log, recent_renames, co_changed_files, history_top, reference_forms, render_costs, rerank_symbols, unit_and_node_lookup, adjacency_heads, typed_bfs, dangling_parents,
+    log_files, scoped_log, recent_renames, co_changed_files, history_top, history_signals, reference_forms, render_costs, rerank_symbols, unit_and_node_lookup, adjacency_heads, typed_bfs, dangling_parents,
     exact_node, community_summary, community_crossings, structural_signals, import_cascade, artifact_problems, artifact_references, replaced_files, recorded_errors, dropped_files, kept_vectors, vector_search_joined,
 )}
 
@@ -233,14 +241,18 @@ _REPO = """own AS (SELECT node_id, split_part(path, '/', 1) AS repository FROM n
 _LAST = RQ._FILES_ONE.format("DESC")
 _FIRST = RQ._FILES_ONE.format("ASC")
 
+_TOP = (RQ.ORACLES["history_score"].rsplit("SELECT commit_hash", 1)[0].replace("SELECT u.commit_hash, coalesce(bm25", "SELECT u.commit_hash, u.authored_at, coalesce(bm25")
+        + "SELECT commit_hash, {0} AS score FROM r WHERE score >= 0.25 AND n_terms > 0 ORDER BY round(score, 9) DESC, authored_at DESC, commit_hash LIMIT 8")
+
 ORACLES = {
     "log_files": f"WITH {_LOG} SELECT * FROM lg",
     "scoped_log": f"WITH {_LOG} SELECT commit_hash, substr(path, 12) AS path FROM lg WHERE starts_with(path, 'harborline/')",
     "recent_renames": f"WITH {_LOG} SELECT commit_hash, old_path, path AS new_path FROM lg WHERE status = 'R' ORDER BY authored_s DESC, commit_hash, path LIMIT 20",
     "co_changed_files": f"""WITH {RQ._CF}, t AS (SELECT path FROM cf GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), g AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY commit_hash) AS k FROM cf) WHERE k BETWEEN 2 AND 50)
 SELECT b.path AS related, count(*) AS n FROM g a JOIN t ON a.path = t.path JOIN g b ON b.commit_hash = a.commit_hash AND b.path <> a.path GROUP BY b.path ORDER BY n DESC, related LIMIT 10""",
-    "history_top": RQ.ORACLES["history_score"].rsplit("SELECT commit_hash", 1)[0].replace("SELECT u.commit_hash, coalesce(bm25", "SELECT u.commit_hash, u.authored_at, coalesce(bm25")
-    + "SELECT commit_hash, round(score, 6) AS score FROM r WHERE score >= 0.25 AND n_terms > 0 ORDER BY round(score, 9) DESC, authored_at DESC, commit_hash LIMIT 8",
+    "history_top": _TOP.replace("{0}", "round(score, 6)"),
+    "history_signals": f"""WITH top AS ({_TOP.replace("{0}", "score")}), {RQ._CF}, f AS (SELECT path, min(unit_id) AS unit_id FROM units WHERE node_type = 'file' GROUP BY path)
+SELECT unit_id, round(max(score), 6) AS score, CAST(count(DISTINCT substr(commit_hash, 1, 10)) AS INTEGER) AS commits FROM top JOIN cf USING (commit_hash) JOIN f USING (path) GROUP BY unit_id""",
     "reference_forms": r"""WITH u AS (SELECT DISTINCT unit_id, path, signature, qualname FROM units WHERE signature IS NOT NULL),
   b AS (SELECT *, trim(regexp_replace(regexp_replace(trim(signature), '^[''"`<>()\[\]{}]+|[''"`<>()\[\]{}]+$', '', 'g'), '[^A-Za-z0-9_.$:/@#-]+', ' ', 'g')) AS plain FROM u)
 SELECT DISTINCT unit_id, path, signature, CASE WHEN plain <> '' AND length(plain) <= 180 AND NOT contains(plain, ' ') THEN plain END AS cleaned,

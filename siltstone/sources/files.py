@@ -118,11 +118,13 @@ def discover(spark: SparkSession, root: str, *, extensions=PYTHON, excludes=DEFA
 
 def _ignore_lines(spark: SparkSession, fs, base: str, names=(".gitignore", ".siltstoneignore")) -> list[str]:
     """Lines of the ignore files at the root: the common one, then the tool's own."""
-    out = []
+    jvm, out = spark.sparkContext._jvm, []
     for name in names:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        if fs.exists(at):
-            out += [r.value for r in spark.read.text(f"{base}/{name}").collect()]
+        at = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if fs.exists(at):  # Spark's own readers pass over names with a leading dot
+            stream = fs.open(at)
+            out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
     return out
 
 

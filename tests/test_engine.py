@@ -93,6 +93,8 @@ def test_no_retrieval_and_bad_budget(engine):
     assert engine.compile("do not search the repository")["items"] == []
     with pytest.raises(ValueError):
         engine.compile("x", 100)
+    with pytest.raises(ValueError):
+        engine.compile("x", 1000, without=("nothing",))
 
 
 def test_map_writes_a_graph_that_reads_back(spark, engine, repository):
@@ -114,7 +116,8 @@ def test_map_writes_a_graph_that_reads_back(spark, engine, repository):
 
 def test_evaluation(spark, engine):
     tasks = spark.createDataFrame([("1", "lost prefix of a mounted path", ["app/routing.py"], ["app.routing.Mount.resolve"], [("app/routing.py", 10, 12)])], "id string, task string, gold_files array<string>, gold_symbols array<string>, gold_line_ranges array<struct<file:string,start_line:int,end_line:int>>")
-    got = {r.configuration: r for r in engine.evaluate(tasks, top_k=5, configurations=("filename", "bm25_symbols", "full")).collect()}
+    got = {r.configuration: r for r in engine.evaluate(tasks, top_k=5, configurations=("filename", "bm25_symbols", "hybrid_graph_history"), ablations=("semantic",)).collect()}
+    assert got["full"].ablation == "semantic" and got["hybrid_graph_history"].package_file_recall == 1.0
     assert got["full"].package_file_recall == 1.0 and got["bm25_symbols"].mrr == 1.0
 
 
