@@ -14,7 +14,7 @@ from siltstone.operators import graph_build as B
 from siltstone.operators import history
 from siltstone.sources import artifacts, files, python_units
 
-from siltstone.plans.stage import stage
+from siltstone.plans.stage import is_staged, stage
 
 from .tables import table
 
@@ -34,7 +34,7 @@ _built: dict = {}
 def _graph(spark, folder):
     """Nodes and edges, built and written once per session and folder for all plans that read them."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _built:
+    if key not in _built or not is_staged(_built[key][0]):
         units = table(spark, folder, "units")
         nodes, edges = B.build(units, call_hints(units), "corpus")
         _built[key] = stage(nodes, "nodes"), stage(edges, "edges")

@@ -112,9 +112,9 @@ def _indexings(spark, folder):
 
 
 def incremental_diff(spark, folder):
-    last, first = _indexings(spark, folder)
-    # the last indexing without every path ending in .json against the first without every .go one
-    return incremental.diff(last.where("path not like '%.json'"), first.where("path not like '%.go'"))
+    """The files as the units last read them against their first indexing."""
+    read = table(spark, folder, "units").where("node_type = 'file'").groupBy("path").agg(F.min("content_hash").alias("content_hash"))
+    return incremental.diff(read, _indexings(spark, folder)[1])
 
 
 def keep_last_indexing(spark, folder):
@@ -379,8 +379,7 @@ SELECT vec_id, round(c, 6) AS similarity FROM s WHERE c > 0 ORDER BY round(c, 9)
     "fresh_embedding_join": "SELECT provider, count(*) AS n FROM (SELECT DISTINCT v.provider, v.unit_id, v.content_hash FROM unit_vectors v JOIN units u ON u.unit_id = v.unit_id AND u.content_hash = v.content_hash) GROUP BY provider",
     "pending_embeddings": f"""WITH v AS (SELECT DISTINCT unit_id, content_hash FROM unit_vectors WHERE provider = 'local-hash')
 SELECT node_type, count(DISTINCT u.unit_id) AS n FROM {_U} u LEFT JOIN v ON v.unit_id = u.unit_id WHERE node_type IN ('file', 'class', 'function', 'method', 'test') AND v.content_hash IS DISTINCT FROM u.content_hash GROUP BY node_type""",
-    "incremental_diff": f"""WITH l AS ({_FILES_ONE.format('DESC')}), f AS ({_FILES_ONE.format('ASC')}),
-  a AS (SELECT path, content_hash FROM l WHERE path NOT LIKE '%.json'), b AS (SELECT path, content_hash, parse_error FROM f WHERE path NOT LIKE '%.go')
+    "incremental_diff": f"""WITH a AS (SELECT path, min(content_hash) AS content_hash FROM units WHERE node_type = 'file' GROUP BY path), b AS ({_FILES_ONE.format('ASC')})
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'deleted' WHEN b.path IS NULL THEN 'new' WHEN a.content_hash = b.content_hash AND b.parse_error IS NULL THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path""",
     "keep_last_indexing": f"SELECT path, content_hash, mtime_ns, size_bytes FROM ({_FILES_ONE.format('DESC')})",
     "parse_failures": "SELECT DISTINCT path, parse_error FROM files WHERE trim(parse_error) <> ''",

@@ -47,6 +47,11 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(p.path for p in parts))
 
 
+def is_staged(df: DataFrame) -> bool:
+    """Whether a staged table is still there for plans to read."""
+    return any(p == getattr(df, "path", None) for _, p in _written)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables staged by this session so far; no plan may read them any more."""
     global _written

@@ -11,12 +11,23 @@ from siltstone.operators import graph as G
 from siltstone.operators import graph_build as B
 from siltstone.operators import hierarchy as H
 from siltstone.plans import retrieval_queries
+from siltstone.plans.stage import shared_folder
 
 
 def rows(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    for master in ("spark://host:7077", "yarn"):
+        Session.sparkContext = type("Context", (), {"master": master, "getConf": staticmethod(lambda: {})})
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Session)
+
+
 # -- hierarchy ----------------------------------------------------------------
 
 
